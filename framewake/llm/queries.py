@@ -9,11 +9,13 @@ from .packing import pack_documents
 from .rules import STOP_WORDS, quality_rules
 from .simhash import near_duplicates
 from .tokenfile import token_files
+from .weaklabel import classify
 
 
 def queries() -> dict:
     return {
         "op1_matroska": lambda spark, d: text_media(documents(spark, d)),
+        "op2_quality_classifier": lambda spark, d: classify(documents(spark, d)),
         "op3_packing": lambda spark, d: pack_documents(documents(spark, d)),
         "op4_line_dedup": lambda spark, d: line_digests(documents(spark, d)),
         "op5_quality_rules": lambda spark, d: quality_rules(documents(spark, d)),
