@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import encode_decode
 from .common import documents
 from .linededup import line_digests
 from .media import text_media
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op4_line_dedup": lambda spark, d: line_digests(documents(spark, d)),
         "op5_quality_rules": lambda spark, d: quality_rules(documents(spark, d)),
         "op6_simhash": lambda spark, d: near_duplicates(documents(spark, d)),
+        "op7_bpe": lambda spark, d: encode_decode(documents(spark, d)),
         "op9_token_files": lambda spark, d: token_files(documents(spark, d)),
     }
 
