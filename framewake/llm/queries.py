@@ -11,6 +11,7 @@ from .rules import STOP_WORDS, quality_rules
 from .simhash import near_duplicates
 from .tokenfile import token_files
 from .weaklabel import classify
+from .wrapper import main_text
 
 
 def queries() -> dict:
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op6_simhash": lambda spark, d: near_duplicates(documents(spark, d)),
         "op7_bpe": lambda spark, d: encode_decode(documents(spark, d)),
         "op9_token_files": lambda spark, d: token_files(documents(spark, d)),
+        "op10_html_extraction": lambda spark, d: main_text(spark.read.parquet(f"{d}/pages.parquet")),
     }
 
 
