@@ -10,6 +10,7 @@ from .packing import pack_documents
 from .rules import STOP_WORDS, quality_rules
 from .simhash import near_duplicates
 from .tokenfile import token_files
+from .toxicity import score_toxicity
 from .weaklabel import classify
 from .wrapper import main_text
 
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op5_quality_rules": lambda spark, d: quality_rules(documents(spark, d)),
         "op6_simhash": lambda spark, d: near_duplicates(documents(spark, d)),
         "op7_bpe": lambda spark, d: encode_decode(documents(spark, d)),
+        "op8_toxicity": lambda spark, d: score_toxicity(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op9_token_files": lambda spark, d: token_files(documents(spark, d)),
         "op10_html_extraction": lambda spark, d: main_text(spark.read.parquet(f"{d}/pages.parquet")),
     }
