@@ -1,11 +1,390 @@
-"""Queries of the engine's own operators and their SQL."""
+"""Queries of the engine's own operators and their SQL. Doubles are rounded to 6 places, as engines differ in the last bits."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import AlignConfig, ShotConfig
+from .functions import scalars as fs
+from .operators import align, evaluate, merge, report, resolve, retrieval, shots
+from .plans import planted
+from .sources import media
+
+R = 6
+
+
+def _r(df: DataFrame) -> DataFrame:
+    return df.select(*[(F.round(c, R) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+class _Planted:
+    def __init__(self, spark: SparkSession, d: str):
+        frames = planted.all_frames(spark, d)
+        self.index, self.query, self.shots = planted.index_frames(frames), planted.query_frames(spark, frames), planted.shots(spark)
+
+
+def _pairs(s, d):
+    p = _Planted(s, d)
+    return retrieval.cosine_pairs(p.query, p.index)
+
+
+def _maxima(s, d):
+    p = _Planted(s, d)
+    return retrieval.frame_maxima(p.query, p.index)
+
+
+def _top(s, d):
+    p = _Planted(s, d)
+    return retrieval.top_frames(p.query, p.index, 10)
+
+
+def _candidates(s, d):
+    return retrieval.rank_candidates(retrieval.source_scores(_maxima(s, d)), retrieval.frame_votes(_top(s, d)))
+
+
+def _points(method: str):
+    def run(s, d):
+        p = _Planted(s, d)
+        return align.align(retrieval.candidate_pairs(p.query, p.index, _candidates(s, d)), AlignConfig(), method)
+
+    return run
+
+
+def _normalised(s, d):
+    p = _Planted(s, d)
+    c = _candidates(s, d).where("rank = 1")
+    pairs = retrieval.candidate_pairs(p.query, p.index, c)
+    return retrieval.normalized_scores(pairs, p.index, p.query).groupBy("shot_id", "source_id", "q_idx").agg(F.max("sim").alias("best"))
+
+
+def _empty_shots(s, d):
+    frames = planted.all_frames(s, d).where("source_id = 0").select(F.col("local_index").cast("double").alias("q_ts"))
+    gaps = s.createDataFrame([(1, 3.2, 3.6), (2, 7.4, 7.6), (3, 2.0, 4.0), (4, 9.7, 9.9), (5, 100000.25, 100000.75)], "shot_id int, start double, end double")
+    return retrieval.nearest_for_empty(frames, gaps)
+
+
+def _events(s, d):
+    """Event values of each user as a series of change scores between 0 and 1."""
+    e = _table(s, d, "events")
+    return e.select("user_id", "event_id", (F.col("value") / (F.abs(F.col("value")) + 100.0)).alias("score"))
+
+
+def _spaced(s, d):
+    e = _table(s, d, "events").groupBy("user_id").agg(F.collect_list(F.col("event_id").cast("double")).alias("t"))
+    return e.select("user_id", F.explode(shots.spaced(F.col("t"), 400.0, F.lit(0.0))).alias("t"))
+
+
+def _built(s, d):
+    e = _table(s, d, "events").where("user_id % 5 = 0")
+    cuts = e.groupBy("user_id").agg(F.collect_list(F.col("event_id") / 100.0).alias("t"), (F.max("event_id") / 100.0 + 3.0).alias("duration"))
+    return shots.build_shots(cuts, "user_id", "t", "duration", ShotConfig(min_shot=2.0, max_shot=8.0))
+
+
+def _fixed(s, d):
+    p = _table(s, d, "part")
+    return p.select("p_partkey", F.explode(shots.fixed_cuts(F.col("p_size").cast("double"), 3.0)).alias("cut"))
+
+
+def _grades(s, d):
+    """Scores of line items as segments: quantities and prices scaled into the ranges of the formula."""
+    l = _table(s, d, "lineitem")  # noqa: E741
+    v = {"visual": F.col("l_quantity") / 50, "coverage": 1 - F.col("l_tax") * 5, "margin": F.col("l_discount") * 2, "r2": F.col("l_linenumber") / 7.0, "rmse": F.col("l_tax") * 4, "length": F.col("l_linenumber") * 0.7}
+    x = l.select("l_orderkey", "l_linenumber", fs.confidence(**v).alias("confidence"), v["margin"].alias("margin"))
+    return x.select("l_orderkey", "l_linenumber", F.round("confidence", R).alias("confidence"), fs.status(F.round("confidence", R), F.col("margin")).alias("status"))
+
+
+SEGMENTS = (
+    (1, 0.0, 2.0, "a", 10.0, 12.0, 0.9, "HIGH", 1.0), (1, 2.0, 4.0, "a", 12.0, 14.0, 0.7, "MEDIUM", 1.0), (1, 4.0, 6.0, "a", 14.0, 16.0, 0.6, "LOW", 1.05),
+    (2, 0.0, 2.0, "a", 10.0, 12.0, 0.9, "HIGH", 1.0), (2, 2.0, 4.0, "a", 40.0, 42.0, 0.8, "HIGH", 1.0), (3, 0.0, 2.0, "a", 10.0, 12.0, 0.9, "HIGH", 1.0), (3, 2.0, 4.0, "b", 12.0, 14.0, 0.8, "HIGH", 1.0),
+    (4, 0.0, 2.0, "a", 10.0, 12.0, 0.9, "HIGH", 1.0), (4, 2.0, 4.0, None, None, None, 0.2, "UNKNOWN", 1.0), (5, 0.0, 2.0, "a", 10.0, 12.0, 0.9, "HIGH", 1.0), (5, 2.3, 4.3, "a", 12.2, 14.2, 0.5, "LOW", 1.0), (5, 4.3, 6.0, "a", 14.2, 16.5, 0.5, "LOW", 1.25),
+)
+TRUTH = ((1, 0.0, 4.0, "a", 10.0, 14.0, 1.0, ""), (2, 4.0, 8.0, "b", 30.0, 34.0, 1.0, ""), (3, 8.0, 12.0, "a", 50.0, 54.0, 1.0, ""), (4, 12.0, 16.0, "_Hidden", 0.0, 4.0, 1.0, "unknown"), (5, 16.0, 20.0, "c", 5.0, 9.0, 1.0, ""), (6, 22.0, 26.0, "a", 20.0, 24.0, 1.0, ""))
+PREDICTIONS = ((1, 0.0, 4.0, "a", 10.0, 14.0, 0.9, "HIGH", 1.0), (2, 4.0, 8.0, "c", 30.0, 34.0, 0.7, "MEDIUM", 1.0), (3, 8.0, 12.0, "a", 52.0, 56.0, 0.8, "HIGH", 1.0), (4, 12.0, 16.0, None, None, None, 0.1, "UNKNOWN", 1.0), (5, 21.5, 26.0, "a", 19.5, 24.0, 0.9, "HIGH", 1.0))
+RUNS = (("A", "basic", True, 1.0, 0.6, 6.8, 7.9, 687.8), ("A", "multi", True, 1.0, 0.5, -1.0, 8.9, 690.0), ("B", "basic", True, 0.96, 0.6, 6.6, 3.7, 687.8), ("B", "multi", False, 0.0, 0.0, 0.0, 0.0, 0.0), ("D", "basic", True, 1.0, 1.0, 0.04, 30.1, 688.1), ("D", "multi", True, 1.0, 1.0, 0.06, 45.5, 687.0))
+
+
+def _literal(s, rows, schema):
+    return s.createDataFrame(list(rows), schema)
+
+
+def _segments(s):
+    base = _literal(s, SEGMENTS, "query_id int, query_start double, query_end double, source string, source_start double, source_end double, confidence double, status string, speed double")
+    return base.withColumn("scores", F.create_map(F.lit("visual"), F.col("confidence")))
+
+
+def _truth(s):
+    return _literal(s, TRUTH, "id int, query_start double, query_end double, source string, source_start double, source_end double, speed double, note string")
+
+
+def _predictions(s):
+    return _literal(s, PREDICTIONS, "id int, query_start double, query_end double, source string, source_start double, source_end double, confidence double, status string, speed double")
+
+
+def _runs(s):
+    return _literal(s, RUNS, "config string, case string, ok boolean, source_recall double, segment_recall double, start_error double, total_s double, peak_mb double")
+
+
+def _merged(s, d):
+    m = merge.merge_segments(_segments(s))
+    return m.drop("scores")
+
+
+def _histograms(s, d):
+    e = _table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("int")).alias("pixels"))
+    h = e.select("vec_id", F.posexplode(shots.gray_histogram(F.col("pixels"))).alias("bin", "share"))
+    return h.where("share > 0")
+
+
+def _changes(s, d):
+    e = _table(s, d, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("int")).alias("pixels"))
+    e = e.withColumn("hist", shots.gray_histogram(F.col("pixels")))
+    return shots.change_scores(e, "label", "vec_id", "hist", "pixels").select("label", "vec_id", "score")
+
+
+def _scalars(s, d):
+    c = _table(s, d, "customer")
+    rate = F.concat_ws("/", F.col("c_custkey").cast("string"), (F.col("c_nationkey")).cast("string"))
+    t = F.abs(F.col("c_acctbal")) / 10
+    return c.select(
+        "c_custkey", fs.rational(rate).alias("rate"), fs.orientation(F.col("c_nationkey"), F.lit(12)).alias("orientation"), fs.clip(F.col("c_acctbal"), 0.0, 5000.0).alias("clipped"), fs.time_label(F.floor(t).cast("double")).alias("label"),
+        fs.iou(F.lit(0.0), F.col("c_nationkey").cast("double"), F.lit(5.0), F.lit(15.0)).alias("iou"), fs.composite(F.col("c_nationkey") / 25, F.lit(0.5)).alias("composite"), fs.shown(F.col("c_nationkey") / 7 - 1, 3).alias("shown"),
+    )
+
+
+def _gem(s, d):
+    e = _table(s, d, "embeddings")
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    return e.select("vec_id", fs.gem(v).alias("gem"), fs.dot(v, v).alias("square"), F.element_at(fs.l2_normalize(v), 1).alias("first"))
+
+
+def _dedupe(s, d):
+    docs = _table(s, d, "documents").withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return media.dedupe_content(docs, "key", "doc_id").select("key", "doc_id", F.size("duplicates").alias("n_duplicates"), F.array_join(F.transform("duplicates", lambda x: x.cast("string")), ",").alias("duplicates"))
+
+
+def _space(s, d):
+    e = _table(s, d, "embeddings").select(F.size("embedding").alias("dim"), F.lit("l2").alias("normalization"))
+    media.require_one_space(e, "dim", "normalization")
+    return e.groupBy("dim", "normalization").agg(F.count(F.lit(1)).alias("n")).withColumn("params", fs.params_hash(dim=F.col("dim"), normalization=F.col("normalization")))
+
+
+def _trace(s, d):
+    p = _Planted(s, d)
+    return resolve.trace(p.query, p.index, p.shots)
+
+
+def _trace_eval(s, d):
+    pred = _trace(s, d).withColumnRenamed("shot_id", "id")
+    return evaluate.details(planted.truth(s), pred)
+
+
+def _ladder(s, d):
+    p = _Planted(s, d)
+    return resolve.trace_levels(p.query, p.index, p.shots).select("shot_id", "source_id", "level", "composite", "margin")
+
 
 def queries() -> dict:
-    return {}
+    p = _Planted
+    cols = ["shot_id", "source_id"]
+    return {
+        "trace": lambda s, d: _r(_trace(s, d).drop("scores")),
+        "trace_evaluated": lambda s, d: _r(_trace_eval(s, d)),
+        "resolve_ladder": lambda s, d: _r(_ladder(s, d)),
+        "frames_view": lambda s, d: _r(p(s, d).index.select("source_id", "local_index", "ts", F.size("descriptor").alias("dim"), F.element_at("descriptor", 1).alias("first"))),
+        "self_exclusion": lambda s, d: media.exclude_query(_table(s, d, "pages").select("page_id", "url"), _table(s, d, "pages").where("page_id = 0").select("url"), "url").select("page_id", "url"),
+        "content_dedupe": _dedupe,
+        "closed_time_slice": lambda s, d: media.time_slice(p(s, d).index, 2.0, 5.0).select("source_id", "local_index", "ts"),
+        "sampled_frames": lambda s, d: media.sampled(p(s, d).index.select("source_id", "local_index", "ts"), 0.25).select("source_id", "local_index"),
+        "shot_frame_range_join": lambda s, d: retrieval.shot_frames(p(s, d).query.select(F.col("shot_id").alias("of_shot"), "q_idx", "q_ts"), p(s, d).shots).select("shot_id", "of_shot", "q_idx", "q_ts"),
+        "nearest_frame_fallback": _empty_shots,
+        "cosine_pairs": lambda s, d: _r(_pairs(s, d)),
+        "frame_topn_search": lambda s, d: _r(retrieval.top_frames(p(s, d).query, p(s, d).index, 5)),
+        "source_scores": lambda s, d: _r(retrieval.source_scores(_maxima(s, d))),
+        "frame_votes": lambda s, d: _r(retrieval.frame_votes(_top(s, d))),
+        "rank_candidates": lambda s, d: _r(_candidates(s, d).drop("_some")),
+        "adaptive_threshold": lambda s, d: _r(align.adaptive_threshold(_pairs(s, d))),
+        "candidate_points": lambda s, d: _r(align.candidate_points(_pairs(s, d)).select(*cols, "q_idx", "s_idx", "sim")),
+        "align_none": lambda s, d: _r(align.align_nearest(_pairs(s, d)).select(*cols, "q_idx", "s_idx", "sim")),
+        "align_tn": lambda s, d: _r(_points("tn")(s, d)),
+        "align_dp": lambda s, d: _r(_points("dp")(s, d)),
+        "align_dtw": lambda s, d: _r(_points("dtw")(s, d)),
+        "align_hv": lambda s, d: _r(_points("hv")(s, d)),
+        "path_summary": lambda s, d: _r(align.path_summary(align.align_nearest(_pairs(s, d)))),
+        "robust_time_fit": lambda s, d: _r(align.fit_times(_points("tn")(s, d))),
+        "time_mapping": lambda s, d: _r(align.map_times(align.fit_times(_points("tn")(s, d)), p(s, d).shots, p(s, d).index.groupBy("source_id").agg(F.max("ts").alias("duration"))).select(*cols, "source_start", "source_end")),
+        "score_normalise": lambda s, d: _r(_normalised(s, d)),
+        "best_second_margin": lambda s, d: _r(report.best_second(_candidates(s, d))),
+        "confidence_status": _grades,
+        "shot_score_stats": lambda s, d: _r(shots.thresholds(_events(s, d), "user_id")),
+        "shot_local_maxima": lambda s, d: _r(shots.peaks(_events(s, d), "user_id", "event_id", shots.thresholds(_events(s, d), "user_id")).select("user_id", "event_id", "score")),
+        "greedy_min_gap": _spaced,
+        "build_shots": lambda s, d: _r(_built(s, d)),
+        "fixed_shots": _fixed,
+        "histogram_features": lambda s, d: _r(_histograms(s, d)),
+        "change_scores": lambda s, d: _r(_changes(s, d)),
+        "merge_segments": lambda s, d: _r(_merged(s, d)),
+        "report_rows": lambda s, d: report.csv_rows(_segments(s).drop("scores")),
+        "status_summary": lambda s, d: _r(report.status_summary(_segments(s), "query_id")),
+        "eval_matching": lambda s, d: _r(evaluate.details(_truth(s), _predictions(s))),
+        "eval_summary": lambda s, d: _r(evaluate.summary(evaluate.details(_truth(s), _predictions(s)), _predictions(s))),
+        "false_positives": lambda s, d: evaluate.false_positives(_predictions(s), evaluate.details(_truth(s), _predictions(s))).select("id", "source"),
+        "bench_rollup": lambda s, d: _r(evaluate.roll_up(_runs(s))),
+        "bench_best": lambda s, d: evaluate.best_config(evaluate.roll_up(_runs(s))),
+        "running_cursor": lambda s, d: _r(report.running_cursor(_table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("length")), "l_orderkey", "l_linenumber", "length")),
+        "scalar_functions": lambda s, d: _r(_scalars(s, d)),
+        "vector_functions": lambda s, d: _r(_gem(s, d)),
+        "space_guard": _space,
+    }
+
+
+# --- SQL ------------------------------------------------------------------------------------------------------------
+
+
+def _values(rows) -> str:
+    def one(v):
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
+
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+def _plan_rows():
+    at = 0.0
+    for shot, n, label, first, speed, strength in planted.PLAN:
+        for i in range(n):
+            yield shot, i, at + i, strength[i % len(strength)], label, first + int(speed * i + 0.5), (label + 1 + (3 * i + shot) % 9) % 10, (7 * shot + 17 * i) % 40
+        at += n
+
+
+def _shot_rows():
+    at = 0.0
+    for shot, n, *_ in planted.PLAN:
+        yield shot, at, at + n - 0.5
+        at += n
+
+
+BASE = f"""
+WITH fr AS (SELECT label AS source_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS local_index, embedding::DOUBLE[] AS descriptor FROM embeddings),
+bl AS (SELECT a.local_index, list_transform(range(1, len(a.descriptor) + 1), lambda k: a.descriptor[k] * 0.99::DOUBLE + b.descriptor[k] * 0.141::DOUBLE) AS v FROM fr a JOIN fr b USING (local_index) WHERE a.source_id = 3 AND b.source_id = 8),
+ix0 AS (SELECT * FROM fr WHERE source_id <> 9 UNION ALL SELECT 103, local_index, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-8)) FROM bl),
+ix AS (SELECT source_id::INT AS source_id, local_index, local_index::DOUBLE AS ts, descriptor FROM ix0),
+pl AS (SELECT * FROM (VALUES {_values(_plan_rows())}) t(shot_id, q_idx, q_ts, a, l1, i1, l2, i2)),
+shots AS (SELECT * FROM (VALUES {_values(_shot_rows())}) t(shot_id, "start", "end")),
+qm AS (SELECT shot_id, q_idx, q_ts, list_transform(range(1, len(x.descriptor) + 1), lambda k: a * x.descriptor[k] + sqrt(1 - a * a) * y.descriptor[k]) AS v
+       FROM pl JOIN fr x ON x.source_id = l1 AND x.local_index = i1 JOIN fr y ON y.source_id = l2 AND y.local_index = i2),
+q AS (SELECT shot_id, q_idx, q_ts, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-8)) AS descriptor FROM qm),
+sim AS (SELECT shot_id, q_idx, q_ts, source_id, local_index AS s_idx, ts AS s_ts, list_dot_product(q.descriptor, ix.descriptor) AS sim FROM q, ix),
+mx AS (SELECT shot_id, source_id, q_idx, max(sim) AS sim FROM sim GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY shot_id, q_idx ORDER BY sim DESC, source_id, s_idx)::INT AS rank FROM sim QUALIFY rank <= 10),
+sc0 AS (SELECT *, row_number() OVER (PARTITION BY shot_id, source_id ORDER BY sim DESC) AS r, count(*) OVER (PARTITION BY shot_id, source_id) AS n FROM mx),
+sc AS (SELECT shot_id, source_id, avg(sim) FILTER (WHERE r <= greatest(1, round_even(n * 0.8::DOUBLE, 0))) AS visual, median(sim) AS median, avg((sim > 0.5)::INT::DOUBLE) AS hit_ratio FROM sc0 GROUP BY ALL),
+vt0 AS (SELECT shot_id, source_id, sum(greatest(sim, 0)) AS v FROM top GROUP BY ALL),
+vt AS (SELECT shot_id, source_id, coalesce(v / nullif(sum(v) OVER (PARTITION BY shot_id), 0), 0) AS vote FROM vt0),
+rk0 AS (SELECT shot_id, source_id, visual, median, hit_ratio, coalesce(vote, 0) AS vote, 0.75::DOUBLE * visual + 0.25::DOUBLE * coalesce(vote, 0) AS score FROM sc LEFT JOIN vt USING (shot_id, source_id)),
+rk1 AS (SELECT *, (row_number() OVER (PARTITION BY shot_id ORDER BY score DESC, source_id))::INT AS rank FROM rk0 QUALIFY rank <= 5),
+rk AS (SELECT * FROM (SELECT *, max((visual >= 0.3)::INT) OVER (PARTITION BY shot_id) AS any_good FROM rk1) WHERE visual >= 0.3 OR (any_good = 0 AND rank = 1)),
+th0 AS (SELECT *, row_number() OVER (PARTITION BY shot_id, source_id ORDER BY sim DESC, q_idx, s_idx) AS r, count(*) OVER (PARTITION BY shot_id, source_id) AS n FROM sim),
+nq AS (SELECT shot_id, count(DISTINCT q_idx) AS nq FROM q GROUP BY ALL),
+th AS (SELECT shot_id, source_id, greatest(sim, 0.35) AS threshold FROM th0 JOIN nq USING (shot_id) WHERE r = least(n, greatest(1, nq * 5))),
+an AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shot_id, source_id, q_idx ORDER BY sim DESC, s_idx) AS r FROM sim) WHERE r = 1 AND sim >= 0.35)
+"""
+
+
+def _rounded(select: str, doubles: str, plain: str) -> str:
+    return f"SELECT {', '.join(plain.split())}, {', '.join(f'round({c}, {R}) + 0.0 AS {c}' for c in doubles.split())} FROM ({select})"
+
+
+_STAT = """WITH ev AS (SELECT user_id, event_id, value / (abs(value) + 100.0::DOUBLE) AS score FROM events), md AS (SELECT user_id, median(score) AS med FROM ev GROUP BY ALL),
+ma AS (SELECT user_id, med, median(abs(score - med)) AS mad FROM ev JOIN md USING (user_id) GROUP BY ALL),
+st AS (SELECT user_id, med, mad, least(0.35::DOUBLE, greatest(0.12::DOUBLE, med + 6.0::DOUBLE * 1.4826::DOUBLE * mad)) AS threshold FROM ma)"""
+_SEG = f"WITH seg AS (SELECT * FROM (VALUES {_values(SEGMENTS)}) t(query_id, query_start, query_end, source, source_start, source_end, confidence, status, speed))"
+_EVAL = f"""WITH g AS (SELECT * FROM (VALUES {_values(TRUTH)}) t(id, query_start, query_end, source, source_start, source_end, speed, note)),
+p AS (SELECT * FROM (VALUES {_values(PREDICTIONS)}) t(id, query_start, query_end, source, source_start, source_end, confidence, status, speed)),
+m0 AS (SELECT g.*, p.id AS pid, p.query_start AS pq0, p.query_end AS pq1, p.source AS ps, p.source_start AS ps0, p.source_end AS ps1, p.status AS pst, p.speed AS psp,
+       greatest(0, least(g.query_end, p.query_end) - greatest(g.query_start, p.query_start)) AS ov FROM g, p),
+m1 AS (SELECT * FROM m0 WHERE ov / greatest(query_end - query_start, 1e-9) >= 0.3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY ov DESC, pid) = 1),
+m AS (SELECT g.*, pid, pq0, pq1, ps, ps0, ps1, pst, psp, (g.source LIKE '\\_Hidden%' ESCAPE '\\' OR g.note LIKE '%unknown%') AS ux FROM g LEFT JOIN m1 USING (id)),
+d0 AS (SELECT *, coalesce(pid IS NOT NULL AND ps IS NOT NULL AND pst <> 'UNKNOWN', FALSE) AS named FROM m),
+d1 AS (SELECT *, coalesce(named AND ps = source, FALSE) AND NOT ux AS ok FROM d0),
+d2 AS (SELECT *, greatest(0, least(source_end, ps1) - greatest(source_start, ps0)) AS si, greatest(0, least(query_end, pq1) - greatest(query_start, pq0)) AS qi FROM d1),
+det AS (SELECT id, source, pid AS pred_id, ps AS pred_source, ux AS unknown_expected, CASE WHEN pid IS NULL THEN 'MISS' ELSE pst END AS status, ok AS source_correct,
+       coalesce(ok AND si / ((source_end - source_start) + (ps1 - ps0) - si) >= 0.5, FALSE) AS segment_correct,
+       CASE WHEN ok THEN si / ((source_end - source_start) + (ps1 - ps0) - si) END AS iou,
+       CASE WHEN ok THEN si * qi / ((query_end - query_start) * (source_end - source_start) + (pq1 - pq0) * (ps1 - ps0) - si * qi) END AS iou_2d,
+       CASE WHEN ok THEN abs(ps0 - source_start) END AS start_error, CASE WHEN ok THEN abs(ps1 - source_end) END AS end_error,
+       CASE WHEN ok THEN abs(ps0 + (query_start - pq0) * psp - source_start) END AS aligned_error, ux AND NOT named AS unknown_correct FROM d2),
+fp AS (SELECT id, source FROM p WHERE source IS NOT NULL AND status <> 'UNKNOWN' AND id NOT IN (SELECT pred_id FROM det WHERE source_correct))"""
+_RUN = f"""WITH runs AS (SELECT * FROM (VALUES {_values(RUNS)}) t(config, "case", ok, source_recall, segment_recall, start_error, total_s, peak_mb)),
+ru AS (SELECT config, avg(source_recall) FILTER (WHERE source_recall >= 0) AS source_recall, avg(segment_recall) FILTER (WHERE segment_recall >= 0) AS segment_recall,
+       avg(start_error) FILTER (WHERE start_error >= 0) AS start_error, avg(total_s) FILTER (WHERE total_s >= 0) AS total_s, max(peak_mb) AS peak_mb, count(*) AS n_runs FROM runs WHERE ok GROUP BY config)"""
+_PIX = "WITH px AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127.5::DOUBLE)::INT) AS pixels FROM embeddings), hi AS (SELECT *, list_transform(range(0, 32), lambda b: len(list_filter(pixels, lambda p: p // 8 = b))::DOUBLE / len(pixels)) AS hist FROM px)"
+_CONF = """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS v, 1 - l_tax * 5 AS c, l_discount * 2 AS margin, l_linenumber / 7.0::DOUBLE AS r2, l_tax * 4 AS rmse, l_linenumber * 0.7::DOUBLE AS len FROM lineitem),
+y AS (SELECT *, greatest(0, least(1, margin / (4 * 0.04::DOUBLE))) AS mar, greatest(0, least(1, 0.5::DOUBLE * r2 + 0.5::DOUBLE * exp(-rmse / 0.5::DOUBLE))) AS ali FROM x),
+z AS (SELECT l_orderkey, l_linenumber, margin, round(greatest(0, least(1, (0.45::DOUBLE * greatest(0, least(1, v)) + 0.25::DOUBLE * greatest(0, least(1, c)) + 0.15::DOUBLE * mar + 0.15::DOUBLE * ali)
+      * (0.85::DOUBLE + 0.15::DOUBLE * greatest(0.4::DOUBLE, least(1, len / 3))))), 6) AS confidence FROM y)"""
+_LABEL = "lpad((floor({c} / 6000)::BIGINT)::VARCHAR, 2, '0') || '-' || lpad((floor({c} / 100)::BIGINT % 60)::VARCHAR, 2, '0') || '-' || lpad(({c}::BIGINT % 100)::VARCHAR, 2, '0')"
+
+
+def _label(t: str) -> str:
+    return _LABEL.format(c=f"round_even({t} * 100, 0)")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    b = lambda select, doubles, plain: BASE + _rounded(select, doubles, plain)
+    return {
+        "frames_view": b("SELECT source_id, local_index, ts, len(descriptor)::INT AS dim, descriptor[1] AS first FROM ix", "ts first", "source_id local_index dim"),
+        "self_exclusion": "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id = 0)",
+        "content_dedupe": "SELECT key, min(doc_id) AS doc_id, (count(DISTINCT doc_id) - 1)::INT AS n_duplicates, coalesce(array_to_string(list_sort(list_distinct(list(doc_id)))[2:], ','), '') AS duplicates FROM (SELECT sha256(coalesce(text, '')) AS key, doc_id FROM documents) GROUP BY key",
+        "closed_time_slice": BASE + "SELECT source_id, local_index, ts FROM ix WHERE ts BETWEEN 2 - 1e-9 AND 5 + 1e-9",
+        "sampled_frames": BASE + "SELECT source_id, min(local_index) AS local_index FROM ix GROUP BY source_id, floor(ts * 0.25)",
+        "shot_frame_range_join": BASE + """SELECT s.shot_id, q.shot_id AS of_shot, q_idx, q_ts FROM q JOIN shots s ON q_ts BETWEEN s."start" - 1e-9 AND s."end" + 1e-9""",
+        "nearest_frame_fallback": BASE + """, f AS (SELECT local_index::DOUBLE AS t FROM fr WHERE source_id = 0), g AS (SELECT * FROM (VALUES (1, 3.2::DOUBLE, 3.6::DOUBLE), (2, 7.4, 7.6), (3, 2.0, 4.0), (4, 9.7, 9.9), (5, 100000.25, 100000.75)) t(shot_id, a, z)),
+            e AS (SELECT shot_id, (a + z) / 2 AS mid FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE t BETWEEN a - 1e-9 AND z + 1e-9))
+            SELECT shot_id, mid, t AS nearest_ts FROM e, f QUALIFY row_number() OVER (PARTITION BY shot_id ORDER BY abs(t - mid), t) = 1""",
+        "cosine_pairs": b("SELECT * FROM sim", "q_ts s_ts sim", "shot_id q_idx source_id s_idx"),
+        "frame_topn_search": b("SELECT * FROM top WHERE rank <= 5", "sim", "shot_id q_idx source_id s_idx rank"),
+        "source_scores": b("SELECT * FROM sc", "visual median hit_ratio", "shot_id source_id"),
+        "frame_votes": b("SELECT * FROM vt", "vote", "shot_id source_id"),
+        "rank_candidates": b("SELECT * FROM rk", "visual median hit_ratio vote score", "shot_id source_id rank"),
+        "adaptive_threshold": b("SELECT * FROM th", "threshold", "shot_id source_id"),
+        "candidate_points": b("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shot_id, source_id, q_idx ORDER BY sim DESC, s_idx) AS r FROM sim) JOIN th USING (shot_id, source_id) WHERE r <= 5 AND (sim >= threshold OR (r = 1 AND sim >= 0.35))", "sim", "shot_id source_id q_idx s_idx"),
+        "align_none": b("SELECT * FROM an", "sim", "shot_id source_id q_idx s_idx"),
+        "path_summary": b("""SELECT shot_id, source_id, min(q_idx) AS q_start, max(q_idx) AS q_end, min(s_idx) AS s_start, max(s_idx) AS s_end, count(*) AS n, avg(sim) AS visual,
+            least(1, count(DISTINCT q_idx)::DOUBLE / (max(q_idx) - min(q_idx) + 1)) AS coverage, CASE WHEN max(q_idx) = min(q_idx) THEN 1 ELSE regr_slope(s_idx, q_idx) END AS slope,
+            CASE WHEN max(q_idx) = min(q_idx) THEN avg(s_idx) - avg(q_idx) ELSE regr_intercept(s_idx, q_idx) END AS intercept,
+            CASE WHEN count(*) < 2 THEN 1 WHEN max(q_idx) = min(q_idx) THEN 0 WHEN regr_syy(s_idx, q_idx) <= 1e-9 THEN 1 ELSE greatest(0, least(1, regr_r2(s_idx, q_idx))) END AS linearity FROM an GROUP BY ALL""", "visual coverage slope intercept linearity", "shot_id source_id q_start q_end s_start s_end n"),
+        "score_normalise": b("""SELECT shot_id, source_id, q_idx, max(sim) - 0.5::DOUBLE * any_value(bias) AS best FROM sim JOIN (SELECT shot_id, source_id FROM rk WHERE rank = 1) c USING (shot_id, source_id)
+            JOIN (SELECT shot_id, source_id, q_idx, avg(s) AS bias FROM (SELECT o.shot_id, c.source_id, q_idx, sim AS s, row_number() OVER (PARTITION BY o.shot_id, q_idx ORDER BY sim DESC) AS r
+                  FROM sim o JOIN rk c ON c.shot_id = o.shot_id AND c.rank = 1 AND c.source_id <> o.source_id
+                  JOIN (SELECT cand, local_index, source_id FROM (SELECT c.source_id AS cand, i.local_index, i.source_id, row_number() OVER (PARTITION BY c.source_id ORDER BY i.local_index, i.source_id) AS k FROM (SELECT DISTINCT source_id FROM rk WHERE rank = 1) c, ix i WHERE i.source_id <> c.source_id AND i.local_index < 256) WHERE k <= 256) pool
+                  ON pool.cand = c.source_id AND pool.local_index = o.s_idx AND pool.source_id = o.source_id) WHERE r <= 10 GROUP BY ALL) USING (shot_id, source_id, q_idx) GROUP BY ALL""", "best", "shot_id source_id q_idx"),
+        "best_second_margin": b("SELECT a.shot_id, a.source_id, a.score, a.score - greatest(coalesce(b.score, 0), 0) AS margin, 1 + coalesce(a.score - b.score < 0.12, FALSE)::INT AS n_refine FROM rk a LEFT JOIN rk b ON b.shot_id = a.shot_id AND b.rank = 2 WHERE a.rank = 1", "score margin", "shot_id source_id n_refine"),
+        "confidence_status": _CONF + " SELECT l_orderkey, l_linenumber, confidence, CASE WHEN margin < 0.04 AND confidence < 0.8 THEN 'UNKNOWN' WHEN confidence >= 0.8 THEN 'HIGH' WHEN confidence >= 0.65 THEN 'MEDIUM' WHEN confidence >= 0.5 THEN 'LOW' ELSE 'UNKNOWN' END AS status FROM z",
+        "shot_score_stats": _STAT + _rounded("SELECT * FROM st", "med mad threshold", "user_id"),
+        "shot_local_maxima": _STAT + _rounded("SELECT * FROM (SELECT *, lag(score) OVER w AS b, lead(score) OVER w AS a FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) JOIN st USING (user_id) WHERE score >= threshold AND coalesce(b, -1e300) <= score AND coalesce(a, -1e300) <= score", "score", "user_id event_id"),
+        "greedy_min_gap": "WITH RECURSIVE g AS (SELECT user_id, min(event_id)::DOUBLE AS t FROM events WHERE event_id >= 400 GROUP BY user_id UNION ALL SELECT g.user_id, (SELECT min(event_id)::DOUBLE FROM events e WHERE e.user_id = g.user_id AND e.event_id - g.t >= 400) AS t FROM g WHERE g.t IS NOT NULL) SELECT user_id, t FROM g WHERE t IS NOT NULL",
+        "fixed_shots": "SELECT p_partkey, unnest(list_transform(range(1, greatest(1, ceil(p_size / 3.0::DOUBLE)::INT)), lambda k: k * 3.0::DOUBLE)) AS cut FROM part",
+        "histogram_features": _PIX + _rounded("SELECT vec_id, (b - 1)::INT AS bin, hist[b] AS share FROM hi, (SELECT unnest(range(1, 33)) AS b) WHERE hist[b] > 0", "share", "vec_id bin"),
+        "change_scores": _PIX + _rounded("""SELECT label, vec_id, CASE WHEN h IS NULL THEN 0 ELSE 0.5::DOUBLE * (1 - list_sum(list_transform(range(1, 33), lambda k: least(hist[k], h[k])))) + 0.5::DOUBLE * least(3 * (list_sum(list_transform(range(1, len(pixels) + 1), lambda k: abs(pixels[k] - p[k])))::DOUBLE / len(pixels) / 255), 1) END AS score
+            FROM (SELECT *, lag(hist) OVER w AS h, lag(pixels) OVER w AS p FROM hi WINDOW w AS (PARTITION BY label ORDER BY vec_id))""", "score", "label vec_id"),
+        "merge_segments": "SELECT * FROM (VALUES (1, 1, 0.0::DOUBLE, 6.0::DOUBLE, 'a', 10.0::DOUBLE, 16.0::DOUBLE, round((((0.9 * 4 + 0.7 * 2) / 6) * 6 + 0.6 * 2) / 8, 6)::DOUBLE, 'HIGH', 1.0::DOUBLE), (2, 1, 0.0, 2.0, 'a', 10.0, 12.0, 0.9, 'HIGH', 1.0), (2, 2, 2.0, 4.0, 'a', 40.0, 42.0, 0.8, 'HIGH', 1.0), (3, 1, 0.0, 2.0, 'a', 10.0, 12.0, 0.9, 'HIGH', 1.0), (3, 2, 2.0, 4.0, 'b', 12.0, 14.0, 0.8, 'HIGH', 1.0), (4, 1, 0.0, 2.0, 'a', 10.0, 12.0, 0.9, 'HIGH', 1.0), (4, 2, 2.0, 4.0, NULL, NULL, NULL, 0.2, 'UNKNOWN', 1.0), (5, 1, 0.0, 4.3, 'a', 10.0, 14.2, round((0.9 * 4.3 + 0.5 * 2) / 6.3, 6), 'HIGH', 1.0), (5, 2, 4.3, 6.0, 'a', 14.2, 16.5, 0.5, 'LOW', 1.25)) t(query_id, id, query_start, query_end, source, source_start, source_end, confidence, status, speed)",
+        "report_rows": _SEG + f""" SELECT query_id, printf('%.3f', query_start) AS query_start, printf('%.3f', query_end) AS query_end, coalesce(source, '') AS source, coalesce(printf('%.3f', source_start), '') AS source_start, coalesce(printf('%.3f', source_end), '') AS source_end,
+            printf('%.4f', confidence) AS confidence, status, printf('%.4f', speed) AS speed, CASE WHEN source IS NULL THEN '' ELSE lpad(query_id::VARCHAR, 3, '0') || '_' || source || '_' || {_label("source_start")} || '_' || {_label("source_end")} || '.mp4' END AS clip FROM seg""",
+        "status_summary": _SEG + _rounded("SELECT query_id, count(*) AS n, count(*) FILTER (WHERE status = 'HIGH') AS high, count(*) FILTER (WHERE status = 'MEDIUM') AS medium, count(*) FILTER (WHERE status = 'LOW') AS low, count(*) FILTER (WHERE status = 'UNKNOWN') AS unknown, round(coalesce(sum(query_end - query_start) FILTER (WHERE status <> 'UNKNOWN'), 0) / max(query_end), 4) AS matched_ratio FROM seg GROUP BY query_id", "matched_ratio", "query_id n high medium low unknown"),
+        "eval_matching": _EVAL + _rounded("SELECT * FROM det", "iou iou_2d start_error end_error aligned_error", "id source pred_id pred_source unknown_expected status source_correct segment_correct unknown_correct"),
+        "eval_summary": _EVAL + _rounded("""SELECT count(*) AS n_truth, avg(source_correct::INT::DOUBLE) FILTER (WHERE NOT unknown_expected) AS source_recall, avg(segment_correct::INT::DOUBLE) FILTER (WHERE NOT unknown_expected) AS segment_recall, coalesce(avg(start_error), -1) AS start_error, coalesce(avg(end_error), -1) AS end_error,
+            coalesce(median(start_error), -1) AS median_start_error, coalesce(avg(aligned_error), -1) AS aligned_error, coalesce(avg(iou), -1) AS mean_iou, coalesce(median(iou), -1) AS median_iou, coalesce(avg(unknown_correct::INT::DOUBLE) FILTER (WHERE unknown_expected), 1) AS unknown_accuracy,
+            (SELECT count(*) FROM fp) AS n_false, (SELECT count(*) FROM p WHERE source IS NOT NULL AND status <> 'UNKNOWN') AS n_named, (SELECT count(*) FROM fp)::DOUBLE / (SELECT count(*) FROM p WHERE source IS NOT NULL AND status <> 'UNKNOWN') AS false_positive_rate FROM det""", "source_recall segment_recall start_error end_error median_start_error aligned_error mean_iou median_iou unknown_accuracy false_positive_rate", "n_truth n_false n_named"),
+        "false_positives": _EVAL + " SELECT * FROM fp",
+        "bench_rollup": _RUN + _rounded("SELECT * FROM ru", "source_recall segment_recall start_error total_s peak_mb", "config n_runs"),
+        "bench_best": _RUN + " SELECT (SELECT config FROM ru ORDER BY segment_recall DESC, source_recall DESC, coalesce(start_error, 99) LIMIT 1) AS best, (SELECT config FROM ru ORDER BY total_s, config LIMIT 1) AS fastest, (SELECT config FROM ru ORDER BY peak_mb, config LIMIT 1) AS leanest",
+        "running_cursor": _rounded("SELECT l_orderkey, l_linenumber, coalesce(sum(sum(l_quantity)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cursor FROM lineitem GROUP BY l_orderkey, l_linenumber", "cursor", "l_orderkey l_linenumber"),
+        "scalar_functions": _rounded(f"""SELECT c_custkey, CASE WHEN c_nationkey = 0 THEN 0 ELSE c_custkey::DOUBLE / c_nationkey END AS rate, CASE WHEN 12 > c_nationkey THEN 'portrait' WHEN 12 < c_nationkey THEN 'landscape' ELSE 'square' END AS orientation, greatest(0, least(5000, c_acctbal)) AS clipped,
+            {_label("floor(abs(c_acctbal) / 10)")} AS label, greatest(0, least(c_nationkey, 15) - 5)::DOUBLE / (c_nationkey + 10 - greatest(0, least(c_nationkey, 15) - 5)) AS iou, c_nationkey / 25.0::DOUBLE * 0.75::DOUBLE AS composite, CASE WHEN c_nationkey < 7 THEN '-' ELSE printf('%.3f', c_nationkey / 7.0::DOUBLE - 1) END AS shown FROM customer""", "rate clipped iou composite", "c_custkey orientation label shown"),
+        "vector_functions": _rounded("SELECT vec_id, pow(list_sum(list_transform(embedding::DOUBLE[], lambda x: pow(greatest(x, 1e-6), 4))) / len(embedding), 0.25) AS gem, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS square, embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS first FROM embeddings", "gem square first", "vec_id"),
+        "space_guard": """SELECT dim, 'l2' AS normalization, count(*) AS n, substr(sha256('{"dim":' || dim || ',"normalization":"l2"}'), 1, 16) AS params FROM (SELECT len(embedding)::INT AS dim FROM embeddings) GROUP BY dim""",
+    }

@@ -1,0 +1,158 @@
+"""Candidate retrieval: similarities of query frames and index frames, votes and trimmed source scores.
+
+The query is one medium: its frames are collected behind a check of their size and sent to the tasks, which stream the index.
+Each task reduces its frames to the best per query frame and source (and the best few per query frame) before the
+shuffle, so what moves grows with the query and the number of sources, not with the index.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..config import RetrievalConfig
+from ..functions.scalars import dot
+
+#: Bytes of query descriptors that may be sent to every task.
+QUERY_BYTES = 256 << 20
+
+
+def shot_frames(frames: DataFrame, shots: DataFrame, ts: str = "q_ts") -> DataFrame:
+    """Frames within each shot, both ends inclusive. A bucket of time gives the join an equality, so it is a hash join."""
+    width = 16.0
+    s = shots.withColumn("_b", F.explode(F.sequence(F.floor((F.col("start") - 1e-9) / width), F.floor((F.col("end") + 1e-9) / width))))
+    f = frames.withColumn("_b", F.floor(F.col(ts) / width))
+    return f.join(s, "_b").where(F.col(ts).between(F.col("start") - 1e-9, F.col("end") + 1e-9)).drop("_b")
+
+
+def nearest_for_empty(frames: DataFrame, shots: DataFrame, ts: str = "q_ts") -> DataFrame:
+    """For shots without a frame, the frame nearest to the middle (the earlier of two)."""
+    have = shot_frames(frames.select(ts), shots.select("shot_id", "start", "end"), ts).select("shot_id").distinct()
+    empty = shots.join(have, "shot_id", "left_anti").withColumn("mid", (F.col("start") + F.col("end")) / 2)
+    # the last frame before and the first after each middle: a union sorted by time, no pairs
+    events = frames.select(F.col(ts).alias("t"), F.lit(None).cast("int").alias("shot_id")).union(empty.select(F.col("mid").alias("t"), "shot_id"))
+    w = Window.orderBy("t", F.col("shot_id").isNotNull())
+    frame_t = F.when(F.col("shot_id").isNull(), F.col("t"))
+    around = events.withColumn("before", F.last(frame_t, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first(frame_t, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    near = F.when(F.col("after").isNull() | (F.col("t") - F.col("before") <= F.col("after") - F.col("t")), F.col("before")).otherwise(F.col("after"))
+    return around.where("shot_id is not null").select("shot_id", F.col("t").alias("mid"), near.alias("nearest_ts"))
+
+
+def cosine_pairs(query: DataFrame, index: DataFrame) -> DataFrame:
+    """Every similarity in long form; for small inputs and checked candidates, as its size is the product of both."""
+    f = index.select("source_id", F.col("local_index").alias("s_idx"), F.col("ts").alias("s_ts"), F.col("descriptor").alias("_d"))
+    return f.crossJoin(F.broadcast(query)).select("shot_id", "q_idx", "q_ts", "source_id", "s_idx", "s_ts", dot(F.col("descriptor"), F.col("_d")).alias("sim"))
+
+
+def candidate_pairs(query: DataFrame, index: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Similarities of each shot's frames and the frames of its candidate sources."""
+    f = index.select("source_id", F.col("local_index").alias("s_idx"), F.col("ts").alias("s_ts"), F.col("descriptor").alias("_d"))
+    shot_source = candidates.select("shot_id", "source_id")
+    return query.join(shot_source, "shot_id").join(f, "source_id").select("shot_id", "q_idx", "q_ts", "source_id", "s_idx", "s_ts", dot(F.col("descriptor"), F.col("_d")).alias("sim"))
+
+
+def _query_matrix(query: DataFrame):
+    """The query's frames as a broadcast matrix, made once for a DataFrame."""
+    if (made := getattr(query, "_framewake_matrix", None)) is not None:
+        return made
+    rows, width = query.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("descriptor")), F.lit(0))).first()
+    if rows * width * 8 > QUERY_BYTES:
+        raise ValueError(f"the query has {rows} frames of {width} numbers; split it by shots")
+    got = query.select("shot_id", "q_idx", "descriptor").toArrow().to_pylist()
+    made = query.sparkSession.sparkContext.broadcast((np.array([r["shot_id"] for r in got], np.int64), np.array([r["q_idx"] for r in got], np.int64), np.array([r["descriptor"] for r in got], np.float64).reshape(len(got), width)))
+    query._framewake_matrix = made
+    return made
+
+
+def _matrix(column) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def frame_maxima(query: DataFrame, index: DataFrame) -> DataFrame:
+    """The best similarity of each query frame in each source: shot_id, source_id, q_idx, sim."""
+    shared = _query_matrix(query)
+
+    def run(batches):
+        shot, q_idx, q = shared.value
+        best: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            source, d = batch.column("source_id").to_numpy(), _matrix(batch.column("descriptor"))
+            for s in np.unique(source).tolist():
+                m = (q @ d[source == s].T).max(1)
+                best[s] = np.maximum(best[s], m) if s in best else m
+        for s, m in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(shot, pa.int32()), pa.array(np.full(len(m), s), pa.int32()), pa.array(q_idx, pa.int32()), pa.array(m)], ["shot_id", "source_id", "q_idx", "sim"])
+
+    part = index.select("source_id", "descriptor").mapInArrow(run, "shot_id int, source_id int, q_idx int, sim double")
+    return part.groupBy("shot_id", "source_id", "q_idx").agg(F.max("sim").alias("sim"))
+
+
+def top_frames(query: DataFrame, index: DataFrame, n: int) -> DataFrame:
+    """The n most similar index frames of each query frame; ties by source and place."""
+    shared = _query_matrix(query)
+
+    def run(batches):
+        shot, q_idx, q = shared.value
+        held = None
+        for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            sim = q @ _matrix(batch.column("descriptor")).T
+            source = np.broadcast_to(batch.column("source_id").to_numpy(), sim.shape)
+            place = np.broadcast_to(batch.column("local_index").to_numpy(), sim.shape)
+            new = [sim, source, place]
+            held = new if held is None else [np.hstack(x) for x in zip(held, new, strict=True)]
+            order = np.lexsort((held[2], held[1], -held[0]))[:, :n]
+            held = [np.take_along_axis(x, order, 1) for x in held]
+        if held is not None:
+            k = held[0].shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(shot, k), pa.int32()), pa.array(np.repeat(q_idx, k), pa.int32()), *(pa.array(held[i].ravel(), t) for i, t in ((1, pa.int32()), (2, pa.int32()), (0, pa.float64())))], ["shot_id", "q_idx", "source_id", "s_idx", "sim"])
+
+    part = index.select("source_id", "local_index", "descriptor").mapInArrow(run, "shot_id int, q_idx int, source_id int, s_idx int, sim double")
+    w = Window.partitionBy("shot_id", "q_idx").orderBy(F.desc("sim"), "source_id", "s_idx")
+    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def source_scores(maxima: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """Trimmed mean, median and hit ratio of each source's best similarities per query frame."""
+    w = Window.partitionBy("shot_id", "source_id")
+    ranked = maxima.withColumn("_r", F.row_number().over(w.orderBy(F.desc("sim")))).withColumn("_n", F.count(F.lit(1)).over(w))
+    kept = F.col("_r") <= F.greatest(F.lit(1.0), F.bround(F.col("_n") * (1 - cfg.trim), 0))
+    return ranked.groupBy("shot_id", "source_id").agg(F.avg(F.when(kept, F.col("sim"))).alias("visual"), F.median("sim").alias("median"), F.avg((F.col("sim") > cfg.hit_above).cast("double")).alias("hit_ratio"))
+
+
+def frame_votes(top: DataFrame) -> DataFrame:
+    """Each source's share of the similarity of the best frames; nothing positive at all gives shares of 0."""
+    s = top.groupBy("shot_id", "source_id").agg(F.sum(F.greatest(F.col("sim"), F.lit(0.0))).alias("v"))
+    total = F.sum("v").over(Window.partitionBy("shot_id"))
+    return s.select("shot_id", "source_id", F.coalesce(F.try_divide(F.col("v"), total), F.lit(0.0)).alias("vote"))
+
+
+def rank_candidates(scores: DataFrame, votes: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """The top sources of each shot by combined score, above the least visual score; the best one if none is."""
+    w = Window.partitionBy("shot_id")
+    both = scores.join(votes, ["shot_id", "source_id"], "left").withColumn("vote", F.coalesce("vote", F.lit(0.0)))
+    both = both.withColumn("score", cfg.score_weight * F.col("visual") + cfg.vote_weight * F.col("vote"))
+    ranked = both.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "source_id"))).where(F.col("rank") <= max(1, cfg.top_k))
+    some = F.max((F.col("visual") >= cfg.least_visual).cast("int")).over(w)
+    return ranked.withColumn("_some", some).where((F.col("visual") >= cfg.least_visual) | ((F.col("_some") == 0) & (F.col("rank") == 1))).drop("_some")
+
+
+def normalized_scores(pairs: DataFrame, index: DataFrame, query: DataFrame, k: int = 10, beta: float = 0.5, pool: int = 256) -> DataFrame:
+    """Similarities less beta times the mean of each query frame's k best similarities to frames of other sources.
+
+    The pool of other frames of a source is the first ones by a hash order, the same in every run.
+    """
+    sources = pairs.select("shot_id", "source_id").distinct()
+    order = Window.partitionBy("shot_id", "cand").orderBy("local_index", "other")
+    others = index.select(F.col("source_id").alias("other"), "local_index", F.col("descriptor").alias("_d")).where(F.col("local_index") < pool)
+    chosen = F.broadcast(sources.withColumnRenamed("source_id", "cand")).join(others, F.col("cand") != F.col("other")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pool)
+    sims = query.select("shot_id", "q_idx", "descriptor").join(chosen, "shot_id").select("shot_id", "q_idx", F.col("cand").alias("source_id"), dot(F.col("descriptor"), F.col("_d")).alias("s"))
+    best = sims.withColumn("_r", F.row_number().over(Window.partitionBy("shot_id", "q_idx", "source_id").orderBy(F.desc("s")))).where(F.col("_r") <= k)
+    bias = best.groupBy("shot_id", "q_idx", "source_id").agg(F.avg("s").alias("bias"))
+    return pairs.join(bias, ["shot_id", "q_idx", "source_id"], "left").withColumn("sim", F.col("sim") - beta * F.coalesce("bias", F.lit(0.0))).drop("bias")
