@@ -91,9 +91,10 @@ def _fixed(s, d):
 
 
 def _grades(s, d):
-    """Scores of line items as segments: quantities and prices scaled into the ranges of the formula."""
+    """Scores of line items as segments: their numbers scaled into the ranges of the formula."""
     l = _table(s, d, "lineitem")  # noqa: E741
-    v = {"visual": F.col("l_quantity") / 50, "coverage": 1 - F.col("l_tax") * 5, "margin": F.col("l_discount") * 2, "r2": F.col("l_linenumber") / 7.0, "rmse": F.col("l_tax") * 4, "length": F.col("l_linenumber") * 0.7}
+    # primes keep the scores off the half-way points of rounding
+    v = {"visual": F.col("l_orderkey") * 7919 % 9973 / F.lit(9973.0), "coverage": 1 - F.col("l_tax") * 5, "margin": F.col("l_discount") * 2, "r2": F.col("l_linenumber") / 7.0, "rmse": F.col("l_tax") * 4, "length": F.col("l_linenumber") * 0.7}
     x = l.select("l_orderkey", "l_linenumber", fs.confidence(**v).alias("confidence"), v["margin"].alias("margin"))
     return x.select("l_orderkey", "l_linenumber", F.round("confidence", R).alias("confidence"), fs.status(F.round("confidence", R), F.col("margin")).alias("status"))
 
@@ -322,7 +323,7 @@ _RUN = f"""WITH runs AS (SELECT * FROM (VALUES {_values(RUNS)}) t(config, "case"
 ru AS (SELECT config, avg(source_recall) FILTER (WHERE source_recall >= 0) AS source_recall, avg(segment_recall) FILTER (WHERE segment_recall >= 0) AS segment_recall,
        avg(start_error) FILTER (WHERE start_error >= 0) AS start_error, avg(total_s) FILTER (WHERE total_s >= 0) AS total_s, max(peak_mb) AS peak_mb, count(*) AS n_runs FROM runs WHERE ok GROUP BY config)"""
 _PIX = "WITH px AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127.5::DOUBLE)::INT) AS pixels FROM embeddings), hi AS (SELECT *, list_transform(range(0, 32), lambda b: len(list_filter(pixels, lambda p: p // 8 = b))::DOUBLE / len(pixels)) AS hist FROM px)"
-_CONF = """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS v, 1 - l_tax * 5 AS c, l_discount * 2 AS margin, l_linenumber / 7.0::DOUBLE AS r2, l_tax * 4 AS rmse, l_linenumber * 0.7::DOUBLE AS len FROM lineitem),
+_CONF = """WITH x AS (SELECT l_orderkey, l_linenumber, l_orderkey * 7919 % 9973 / 9973.0::DOUBLE AS v, 1 - l_tax * 5 AS c, l_discount * 2 AS margin, l_linenumber / 7.0::DOUBLE AS r2, l_tax * 4 AS rmse, l_linenumber * 0.7::DOUBLE AS len FROM lineitem),
 y AS (SELECT *, greatest(0, least(1, margin / (4 * 0.04::DOUBLE))) AS mar, greatest(0, least(1, 0.5::DOUBLE * r2 + 0.5::DOUBLE * exp(-rmse / 0.5::DOUBLE))) AS ali FROM x),
 z AS (SELECT l_orderkey, l_linenumber, margin, round(greatest(0, least(1, (0.45::DOUBLE * greatest(0, least(1, v)) + 0.25::DOUBLE * greatest(0, least(1, c)) + 0.15::DOUBLE * mar + 0.15::DOUBLE * ali)
       * (0.85::DOUBLE + 0.15::DOUBLE * greatest(0.4::DOUBLE, least(1, len / 3))))), 6) AS confidence FROM y)"""
