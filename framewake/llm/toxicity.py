@@ -33,7 +33,7 @@ LENGTH, SPAN, DECAY = 4, 7, 0.75
 TRAIN_TOXIC, TRAIN_OTHER = 1500, 3000
 TOXIC_LANDMARKS, OTHER_LANDMARKS = 64, 32
 #: A run of characters speaks for toxicity from this root of the likelihood ratio and these log odds on.
-SURE, LEAN = 4.5, 1.5
+SURE, LEAN = 4.5, 2.5
 #: Weight of all other documents against all toxic ones when scores become probabilities.
 CAUTION = 3.0
 #: Words that a toxic document lends as examples in each round.
@@ -216,7 +216,7 @@ def _landmarks(words: list[str], grams: list[np.ndarray], docs: list[np.ndarray]
     return chosen + calm, z
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 0.1) -> tuple[np.ndarray, float]:
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1.0) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by Newton steps; both classes weigh alike."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     c = np.where(y > 0, weight / weight[y > 0].sum(), weight / weight[y < 0].sum()) * len(y) / 2
