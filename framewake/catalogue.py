@@ -354,6 +354,24 @@ def oracle_sql() -> dict[str, str]:
         "adaptive_threshold": b("SELECT * FROM th", "threshold", "shot_id source_id"),
         "candidate_points": b("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shot_id, source_id, q_idx ORDER BY sim DESC, s_idx) AS r FROM sim) JOIN th USING (shot_id, source_id) WHERE r <= 5 AND (sim >= threshold OR (r = 1 AND sim >= 0.35))", "sim", "shot_id source_id q_idx s_idx"),
         "align_none": b("SELECT * FROM an", "sim", "shot_id source_id q_idx s_idx"),
+        "align_tn": BASE.replace("WITH fr AS", "WITH RECURSIVE fr AS", 1) + """,
+cp AS (SELECT s.* FROM (SELECT *, row_number() OVER (PARTITION BY shot_id, source_id, q_idx ORDER BY sim DESC, s_idx) AS r FROM sim) s JOIN th USING (shot_id, source_id) JOIN rk USING (shot_id, source_id) WHERE r <= 5 AND (sim >= threshold OR (r = 1 AND sim >= 0.35))),
+pts AS (SELECT shot_id, source_id, list(q_idx ORDER BY q_idx, s_idx) AS qs, list(s_idx ORDER BY q_idx, s_idx) AS ss, list(sim ORDER BY q_idx, s_idx) AS vs, list(q_ts ORDER BY q_idx, s_idx) AS qt, list(s_ts ORDER BY q_idx, s_idx) AS st, count(*) AS n FROM cp GROUP BY ALL),
+dp AS (SELECT shot_id, source_id, 0 AS i, []::DOUBLE[] AS best, []::BIGINT[] AS pred, qs, ss, vs, n FROM pts
+       UNION ALL SELECT shot_id, source_id, i + 1, list_append(best, vs[i + 1] + coalesce(list_max(cand), 0)), list_append(pred, CASE WHEN coalesce(list_max(cand), 0) > 0 THEN list_position(cand, list_max(cand)) ELSE 0 END), qs, ss, vs, n
+       FROM (SELECT *, list_transform(range(1, i + 1), lambda j: CASE WHEN qs[i + 1] - qs[j] BETWEEN 1 AND 10 AND ss[i + 1] - ss[j] BETWEEN 1 AND 10 AND ss[i + 1] - ss[j] >= 0.5 * (qs[i + 1] - qs[j]) AND ss[i + 1] - ss[j] <= 2 * (qs[i + 1] - qs[j]) THEN best[j] ELSE 0 END) AS cand FROM dp WHERE i < n)),
+fin AS (SELECT shot_id, source_id, list_position(best, list_max(best)) AS k, pred FROM dp WHERE i = n),
+bt AS (SELECT shot_id, source_id, k, pred FROM fin UNION ALL SELECT shot_id, source_id, pred[k], pred FROM bt WHERE pred[k] > 0),
+ch AS (SELECT shot_id, source_id, k FROM bt QUALIFY count(*) OVER (PARTITION BY shot_id, source_id) >= 3)
+""" + _rounded("SELECT shot_id, source_id, 0 AS path, qs[k] AS q_idx, qt[k] AS q_ts, ss[k] AS s_idx, st[k] AS s_ts, vs[k] AS sim FROM ch JOIN pts USING (shot_id, source_id)", "q_ts s_ts sim", "shot_id source_id path q_idx s_idx"),
+        "build_shots": """WITH RECURSIVE ev AS (SELECT user_id, event_id / 100.0::DOUBLE AS t FROM events WHERE user_id % 5 = 0), du AS (SELECT user_id, max(t) + 3.0::DOUBLE AS duration FROM ev GROUP BY user_id),
+g AS (SELECT user_id, min(t) AS t FROM ev WHERE t >= 2 GROUP BY user_id UNION ALL SELECT g.user_id, (SELECT min(t) FROM ev e WHERE e.user_id = g.user_id AND e.t - g.t >= 2) AS t FROM g WHERE g.t IS NOT NULL),
+bo AS (SELECT user_id, 0::DOUBLE AS t FROM du UNION ALL SELECT g.user_id, t FROM g JOIN du USING (user_id) WHERE t < duration UNION ALL SELECT user_id, duration FROM du),
+se AS (SELECT user_id, t AS a, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS z FROM bo QUALIFY z - a >= 1e-3),
+pa AS (SELECT user_id, a, z, n, unnest(range(0, n)) AS k FROM (SELECT *, greatest(1, ceil((z - a) / 8)::INT) AS n FROM se)),
+sh AS (SELECT user_id, a + k * ((z - a) / n) AS "start", CASE WHEN k = n - 1 THEN z ELSE a + (k + 1) * ((z - a) / n) END AS "end" FROM pa),
+nu AS (SELECT *, row_number() OVER w AS i, lead("start") OVER w AS ns, lead("end") OVER w AS ne, count(*) OVER (PARTITION BY user_id) AS c FROM sh WINDOW w AS (PARTITION BY user_id ORDER BY "start"))
+SELECT user_id, i::INT AS shot_id, round("start", 6) + 0.0 AS "start", round(CASE WHEN i = c - 1 AND ne - ns < 1 THEN ne ELSE "end" END, 6) + 0.0 AS "end" FROM nu WHERE NOT (c > 1 AND i = c AND "end" - "start" < 1)""",
         "path_summary": b("""SELECT shot_id, source_id, min(q_idx) AS q_start, max(q_idx) AS q_end, min(s_idx) AS s_start, max(s_idx) AS s_end, count(*) AS n, avg(sim) AS visual,
             least(1, count(DISTINCT q_idx)::DOUBLE / (max(q_idx) - min(q_idx) + 1)) AS coverage, CASE WHEN max(q_idx) = min(q_idx) THEN 1 ELSE regr_slope(s_idx, q_idx) END AS slope,
             CASE WHEN max(q_idx) = min(q_idx) THEN avg(s_idx) - avg(q_idx) ELSE regr_intercept(s_idx, q_idx) END AS intercept,
