@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .config import AlignConfig, ShotConfig
 from .functions import scalars as fs
-from .operators import align, evaluate, merge, report, resolve, retrieval, shots
+from .operators import align, evaluate, features, merge, report, resolve, retrieval, shots
 from .plans import planted
 from .sources import media
 
@@ -174,6 +174,29 @@ def _space(s, d):
     return e.groupBy("dim", "normalization").agg(F.count(F.lit(1)).alias("n")).withColumn("params", fs.params_hash(dim=F.col("dim"), normalization=F.col("normalization")))
 
 
+def _views(s, d):
+    """Two views of each label's vectors: as they are, and reversed."""
+    e = _table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("descriptor"))
+    both = e.unionByName(e.withColumn("descriptor", F.reverse("descriptor")))
+    return features.mean_of_views(both, "vec_id").select("vec_id", F.element_at("descriptor", 1).alias("first"), F.element_at("descriptor", 2).alias("second"))
+
+
+def _encoded(s, d):
+    """The first bytes of each document as a frame of 8 x 8 pixels."""
+    docs = _table(s, d, "documents").where("length(cast(text as binary)) >= 192")
+    frames = docs.select(F.lit(1).alias("media_id"), F.col("doc_id").alias("frame_idx"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.substring(F.col("text").cast("binary"), 1, 192).alias("pixels"))
+    return features.encode(frames).select("frame_idx", F.size("descriptor").alias("dim"), fs.dot(F.col("descriptor"), F.col("descriptor")).alias("square"), "error")
+
+
+def _refined(s, d):
+    p = _Planted(s, d)
+    coarse = resolve.trace(p.query, p.index, p.shots).where("source is not null").select("shot_id", F.col("source").cast("int").alias("source_id"), F.col("query_start").alias("start"), F.col("query_end").alias("end"), "source_start", "source_end")
+    return resolve.refine(p.query, p.index, coarse)
+
+
+NOTES = ((1, "A cut"), (2, "B scale"), (3, "A cut"), (4, "unknown"), (5, "B scale"), (6, "C code"))
+
+
 def _trace(s, d):
     p = _Planted(s, d)
     return resolve.trace(p.query, p.index, p.shots)
@@ -234,6 +257,12 @@ def queries() -> dict:
         "eval_matching": lambda s, d: _r(evaluate.details(_truth(s), _predictions(s))),
         "eval_summary": lambda s, d: _r(evaluate.summary(evaluate.details(_truth(s), _predictions(s)), _predictions(s))),
         "false_positives": lambda s, d: evaluate.false_positives(_predictions(s), evaluate.details(_truth(s), _predictions(s))).select("id", "source"),
+        "view_means": lambda s, d: _r(_views(s, d)),
+        "frame_descriptors": lambda s, d: _r(_encoded(s, d)),
+        "refined_segments": lambda s, d: _r(_refined(s, d)),
+        "rescan_sources": lambda s, d: resolve.short_sources(p(s, d).index, 48.0),
+        "edit_support": lambda s, d: _r(evaluate.by_note(evaluate.details(_truth(s), _predictions(s)), _literal(s, NOTES, "id int, note string"))),
+        "failures": lambda s, d: evaluate.failures(evaluate.details(_truth(s), _predictions(s))),
         "bench_rollup": lambda s, d: _r(evaluate.roll_up(_runs(s))),
         "bench_best": lambda s, d: evaluate.best_config(evaluate.roll_up(_runs(s))),
         "running_cursor": lambda s, d: _r(report.running_cursor(_table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("length")), "l_orderkey", "l_linenumber", "length")),
@@ -399,6 +428,10 @@ SELECT user_id, i::INT AS shot_id, round("start", 6) + 0.0 AS "start", round(CAS
             coalesce(median(start_error), -1) AS median_start_error, coalesce(avg(aligned_error), -1) AS aligned_error, coalesce(avg(iou), -1) AS mean_iou, coalesce(median(iou), -1) AS median_iou, coalesce(avg(unknown_correct::INT::DOUBLE) FILTER (WHERE unknown_expected), 1) AS unknown_accuracy,
             (SELECT count(*) FROM fp) AS n_false, (SELECT count(*) FROM p WHERE source IS NOT NULL AND status <> 'UNKNOWN') AS n_named, (SELECT count(*) FROM fp)::DOUBLE / (SELECT count(*) FROM p WHERE source IS NOT NULL AND status <> 'UNKNOWN') AS false_positive_rate FROM det""", "source_recall segment_recall start_error end_error median_start_error aligned_error mean_iou median_iou unknown_accuracy false_positive_rate", "n_truth n_false n_named"),
         "false_positives": _EVAL + " SELECT * FROM fp",
+        "view_means": _rounded("""SELECT vec_id, m[1] / sqrt(list_dot_product(m, m)) AS first, m[2] / sqrt(list_dot_product(m, m)) AS second FROM (SELECT vec_id, list_transform(range(1, len(e) + 1), lambda k: (e[k] + e[len(e) + 1 - k]) / 2) AS m FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))""", "first second", "vec_id"),
+        "rescan_sources": BASE + "SELECT source_id, max(ts) AS duration FROM ix GROUP BY source_id HAVING max(ts) <= 48",
+        "edit_support": _EVAL + f", nt AS (SELECT * FROM (VALUES {_values(NOTES)}) t(id, nt)) " + _rounded("SELECT nt[1:1] AS kind, count(*) FILTER (WHERE source_correct) AS n_correct, count(*) AS n, avg(start_error) AS start_error FROM det JOIN nt USING (id) WHERE regexp_matches(nt, '^[A-Z] ') GROUP BY 1", "start_error", "kind n_correct n"),
+        "failures": _EVAL + " SELECT DISTINCT id, status FROM det WHERE NOT source_correct AND NOT unknown_expected ORDER BY id, status LIMIT 20",
         "bench_rollup": _RUN + _rounded("SELECT * FROM ru", "source_recall segment_recall start_error total_s peak_mb", "config n_runs"),
         "bench_best": _RUN + " SELECT (SELECT config FROM ru ORDER BY segment_recall DESC, source_recall DESC, coalesce(start_error, 99) LIMIT 1) AS best, (SELECT config FROM ru ORDER BY total_s, config LIMIT 1) AS fastest, (SELECT config FROM ru ORDER BY peak_mb, config LIMIT 1) AS leanest",
         "running_cursor": _rounded("SELECT l_orderkey, l_linenumber, coalesce(sum(sum(l_quantity)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cursor FROM lineitem GROUP BY l_orderkey, l_linenumber", "cursor", "l_orderkey l_linenumber"),

@@ -77,3 +77,15 @@ def best_config(rolled: DataFrame) -> DataFrame:
 def grid(configs: DataFrame, cases: DataFrame, present: DataFrame) -> DataFrame:
     """Configurations by cases of which there are data."""
     return configs.crossJoin(F.broadcast(cases.join(present, "case", "left_semi")))
+
+
+def by_note(detail: DataFrame, notes: DataFrame) -> DataFrame:
+    """Found and all segments of each kind of editing (the letter that begins a note), and the mean start error of those found."""
+    kind = F.regexp_extract("note", "^([A-Z]) ", 1)
+    rows = detail.join(notes.select("id", "note"), "id").withColumn("kind", kind).where("kind <> ''")
+    return rows.groupBy("kind").agg(F.count_if("source_correct").alias("n_correct"), F.count(F.lit(1)).alias("n"), F.avg("start_error").alias("start_error"))
+
+
+def failures(detail: DataFrame, most: int = 20) -> DataFrame:
+    """The first few segments that were not found, unless their source is unknown."""
+    return detail.where(~F.col("source_correct") & ~F.col("unknown_expected")).select("id", "status").distinct().orderBy("id", "status").limit(most)

@@ -16,7 +16,7 @@ from . import merge, retrieval
 
 def align_candidates(query: DataFrame, index: DataFrame, candidates: DataFrame, cfg: TraceConfig) -> DataFrame:
     """Each candidate's best path: visual score, coverage, fit and composite score."""
-    points = al.align(retrieval.candidate_pairs(query, index, candidates), cfg.align)
+    points = al.align(retrieval.candidate_pairs(query, index, candidates), cfg.align).persist()  # a few points for each candidate, read twice
     paths = al.path_summary(points).select("shot_id", "source_id", "visual", "coverage", F.col("n").alias("n_points"))
     fits = al.fit_times(points, cfg.align).select("shot_id", "source_id", "slope", "intercept", "r2", "rmse")
     return paths.join(fits, ["shot_id", "source_id"]).withColumn("composite", composite(F.col("visual"), F.col("coverage")))
@@ -40,6 +40,7 @@ def trace(query: DataFrame, index: DataFrame, shots: DataFrame, cfg: TraceConfig
     query: shot_id, q_idx, q_ts, descriptor; index: source_id, local_index, ts, descriptor; shots: shot_id, start, end.
     """
     durations = index.groupBy("source_id").agg(F.max("ts").alias("duration"))
+    query = query.persist()
     maxima, top = retrieval.frame_maxima(query, index), retrieval.top_frames(query, index, cfg.retrieval.top_n)
     candidates = retrieval.rank_candidates(retrieval.source_scores(maxima, cfg.retrieval), retrieval.frame_votes(top), cfg.retrieval)
     candidates = candidates.select("shot_id", "source_id", F.col("score").alias("retrieval_score")).persist()
@@ -79,5 +80,27 @@ def trace_levels(query: DataFrame, index: DataFrame, shots: DataFrame, cfg: Trac
     return best_and_margin(done)
 
 
+def refine(query: DataFrame, index: DataFrame, coarse: DataFrame, cfg: TraceConfig = TraceConfig()) -> DataFrame:
+    """Fine alignment of each shot within its coarse source interval, widened by a margin and clipped to the source.
+
+    coarse: shot_id, source_id, start, end (query times), source_start, source_end. Windows of next to nothing and shots
+    without a path have no row. The visual score is of the plain similarities.
+    """
+    durations = index.groupBy("source_id").agg(F.max("ts").alias("duration"))
+    window = coarse.join(durations, "source_id").withColumn("lo", F.greatest(F.lit(0.0), F.col("source_start") - cfg.refine.margin)).withColumn("hi", F.least(F.col("duration"), F.col("source_end") + cfg.refine.margin)).where(F.col("hi") - F.col("lo") >= 0.05)
+    near = index.join(F.broadcast(window.select("shot_id", "source_id", "lo", "hi")), "source_id").where(F.col("ts").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9))
+    pairs = near.select("shot_id", "source_id", F.col("local_index").alias("s_idx"), F.col("ts").alias("s_ts"), F.col("descriptor").alias("_d")).join(query, "shot_id")
+    pairs = pairs.select("shot_id", "q_idx", "q_ts", "source_id", "s_idx", "s_ts", retrieval.dot(F.col("descriptor"), F.col("_d")).alias("sim"))
+    points = al.align(pairs, cfg.align)
+    fits = al.map_times(al.fit_times(points, cfg.align), window.select("shot_id", "start", "end"), durations)
+    paths = al.path_summary(points).select("shot_id", "source_id", "visual", "coverage")
+    return fits.join(paths, ["shot_id", "source_id"]).select("shot_id", "source_id", "source_start", "source_end", "slope", "r2", "rmse", "visual", "coverage", "n_points")
+
+
+def short_sources(index: DataFrame, longest: float) -> DataFrame:
+    """Sources that a rescan takes: those no longer than the bound."""
+    return index.groupBy("source_id").agg(F.max("ts").alias("duration")).where(F.col("duration") <= longest)
+
+
 def merged(segments: DataFrame, cfg: TraceConfig = TraceConfig()) -> DataFrame:
     return merge.merge_segments(segments.withColumn("query_id", F.lit(1)), "query_id", cfg.merge)

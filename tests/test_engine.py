@@ -185,3 +185,29 @@ def test_every_query_runs_and_has_one_schema(spark):
     assert set(catalogue.oracle_sql()) <= set(found)
     for name in ("trace_evaluated", "resolve_ladder", "report_rows", "space_guard", "bench_best", "nearest_frame_fallback"):
         assert found[name](spark, SF).count() > 0, name
+
+
+def test_frame_descriptors(spark):
+    import numpy as np
+
+    from framewake.operators import features
+
+    frames = np.random.default_rng(0).integers(0, 256, (3, 32, 48, 3), dtype=np.uint8)
+    got = features.colour_histogram(frames)
+    assert got.shape == (3, 512) and np.abs(np.linalg.norm(got, axis=1) - 1).max() < 1e-5
+    # a cell's colours, counted plainly: the second row and third column of the grid, green
+    cell = frames[1, 8:16, 24:36, 1]
+    plain = np.histogram(cell, bins=8, range=(0, 256))[0]
+    part = got[1].reshape(16, 32)[6, 8:16]
+    assert np.allclose(part / part.sum(), plain / plain.sum())
+    rows = [(1, k, 32, 48, bytearray(f.tobytes())) for k, f in enumerate(frames)] + [(1, 9, 32, 48, bytearray(b"x")), (1, 10, 32, 48, None)]
+    out = {r.frame_idx: r for r in features.encode(spark.createDataFrame(rows, "media_id int, frame_idx int, height int, width int, pixels binary")).collect()}
+    assert np.allclose(out[1].descriptor, got[1]) and out[9].error and out[10].error and not out[0].error
+    assert features.centre_crop(frames, 0.5).shape == frames.shape and not np.array_equal(features.centre_crop(frames, 0.5), frames)
+    with pytest.raises(ValueError, match="unknown"):
+        features.encode(spark.createDataFrame([], "media_id int, frame_idx int, height int, width int, pixels binary"), "x")
+
+
+def test_refinement_stays_near_the_coarse_interval(spark):
+    got = {r.shot_id: r for r in catalogue.queries()["refined_segments"](spark, SF).collect()}
+    assert got[1].source_start == pytest.approx(10.0) and got[8].slope == pytest.approx(2.0) and got[4].visual > 0.5
