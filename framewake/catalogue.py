@@ -324,6 +324,10 @@ an AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shot_id, source_
 """
 
 
+_POINTS = """,
+cp AS (SELECT s.* FROM (SELECT *, row_number() OVER (PARTITION BY shot_id, source_id, q_idx ORDER BY sim DESC, s_idx) AS r FROM sim) s JOIN th USING (shot_id, source_id) JOIN rk USING (shot_id, source_id) WHERE r <= 5 AND (sim >= threshold OR (r = 1 AND sim >= 0.35)))"""
+
+
 def _rounded(select: str, doubles: str, plain: str) -> str:
     return f"SELECT {', '.join(plain.split())}, {', '.join(f'round({c}, {R}) + 0.0 AS {c}' for c in doubles.split())} FROM ({select})"
 
@@ -383,8 +387,7 @@ def oracle_sql() -> dict[str, str]:
         "adaptive_threshold": b("SELECT * FROM th", "threshold", "shot_id source_id"),
         "candidate_points": b("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shot_id, source_id, q_idx ORDER BY sim DESC, s_idx) AS r FROM sim) JOIN th USING (shot_id, source_id) WHERE r <= 5 AND (sim >= threshold OR (r = 1 AND sim >= 0.35))", "sim", "shot_id source_id q_idx s_idx"),
         "align_none": b("SELECT * FROM an", "sim", "shot_id source_id q_idx s_idx"),
-        "align_tn": BASE.replace("WITH fr AS", "WITH RECURSIVE fr AS", 1) + """,
-cp AS (SELECT s.* FROM (SELECT *, row_number() OVER (PARTITION BY shot_id, source_id, q_idx ORDER BY sim DESC, s_idx) AS r FROM sim) s JOIN th USING (shot_id, source_id) JOIN rk USING (shot_id, source_id) WHERE r <= 5 AND (sim >= threshold OR (r = 1 AND sim >= 0.35))),
+        "align_tn": BASE.replace("WITH fr AS", "WITH RECURSIVE fr AS", 1) + _POINTS + """,
 pts AS (SELECT shot_id, source_id, list(q_idx ORDER BY q_idx, s_idx) AS qs, list(s_idx ORDER BY q_idx, s_idx) AS ss, list(sim ORDER BY q_idx, s_idx) AS vs, list(q_ts ORDER BY q_idx, s_idx) AS qt, list(s_ts ORDER BY q_idx, s_idx) AS st, count(*) AS n FROM cp GROUP BY ALL),
 dp AS (SELECT shot_id, source_id, 0 AS i, []::DOUBLE[] AS best, []::BIGINT[] AS pred, qs, ss, vs, n FROM pts
        UNION ALL SELECT shot_id, source_id, i + 1, list_append(best, vs[i + 1] + coalesce(list_max(cand), 0)), list_append(pred, CASE WHEN coalesce(list_max(cand), 0) > 0 THEN list_position(cand, list_max(cand)) ELSE 0 END), qs, ss, vs, n
@@ -393,6 +396,16 @@ fin AS (SELECT shot_id, source_id, list_position(best, list_max(best)) AS k, pre
 bt AS (SELECT shot_id, source_id, k, pred FROM fin UNION ALL SELECT shot_id, source_id, pred[k], pred FROM bt WHERE pred[k] > 0),
 ch AS (SELECT shot_id, source_id, k FROM bt QUALIFY count(*) OVER (PARTITION BY shot_id, source_id) >= 3)
 """ + _rounded("SELECT shot_id, source_id, 0 AS path, qs[k] AS q_idx, qt[k] AS q_ts, ss[k] AS s_idx, st[k] AS s_ts, vs[k] AS sim FROM ch JOIN pts USING (shot_id, source_id)", "q_ts s_ts sim", "shot_id source_id path q_idx s_idx"),
+        "align_hv": BASE + _POINTS + """,
+sl AS (SELECT * FROM (VALUES (1, 0.8::DOUBLE), (2, 0.9), (3, 1.0), (4, 1.1), (5, 1.25)) t(o, k)),
+h0 AS (SELECT cp.*, o, s_idx - k * q_idx AS off FROM cp, sl),
+h1 AS (SELECT *, min(off) OVER w AS lo, max(off) OVER w AS hi FROM h0 WINDOW w AS (PARTITION BY shot_id, source_id, o)),
+h2 AS (SELECT *, (hi + 1e-6 - lo) / greatest(4, ceil(hi - lo)::INT + 1) AS w, greatest(4, ceil(hi - lo)::INT + 1) AS n FROM h1),
+h3 AS (SELECT *, least(n - 1, floor((off - lo) / w)) AS bin FROM h2),
+h4 AS (SELECT shot_id, source_id, o, bin, any_value(lo) + (bin + 0.5) * any_value(w) AS mid, sum(sim) AS weight FROM h3 GROUP BY shot_id, source_id, o, bin QUALIFY row_number() OVER (PARTITION BY shot_id, source_id, o ORDER BY weight DESC, bin) = 1),
+h5 AS (SELECT h0.*, sum(sim) OVER v AS total, count(*) OVER v AS c FROM h0 JOIN h4 USING (shot_id, source_id, o) WHERE abs(off - mid) <= 1 WINDOW v AS (PARTITION BY shot_id, source_id, o)),
+h6 AS (SELECT shot_id, source_id, o FROM h5 WHERE c >= 3 QUALIFY row_number() OVER (PARTITION BY shot_id, source_id ORDER BY total DESC, o) = 1)
+""" + _rounded("SELECT h5.*, 0 AS path FROM h5 JOIN h6 USING (shot_id, source_id, o)", "q_ts s_ts sim", "shot_id source_id path q_idx s_idx"),
         "build_shots": """WITH RECURSIVE ev AS (SELECT user_id, event_id / 100.0::DOUBLE AS t FROM events WHERE user_id % 5 = 0), du AS (SELECT user_id, max(t) + 3.0::DOUBLE AS duration FROM ev GROUP BY user_id),
 g AS (SELECT user_id, min(t) AS t FROM ev WHERE t >= 2 GROUP BY user_id UNION ALL SELECT g.user_id, (SELECT min(t) FROM ev e WHERE e.user_id = g.user_id AND e.t - g.t >= 2) AS t FROM g WHERE g.t IS NOT NULL),
 bo AS (SELECT user_id, 0::DOUBLE AS t FROM du UNION ALL SELECT g.user_id, t FROM g JOIN du USING (user_id) WHERE t < duration UNION ALL SELECT user_id, duration FROM du),
