@@ -367,6 +367,56 @@ def _label(t: str) -> str:
     return _LABEL.format(c=f"round_even({t} * 100, 0)")
 
 
+_TN = BASE.replace("WITH fr AS", "WITH RECURSIVE fr AS", 1) + _POINTS + """,
+pts AS (SELECT shot_id, source_id, list(q_idx ORDER BY q_idx, s_idx) AS qs, list(s_idx ORDER BY q_idx, s_idx) AS ss, list(sim ORDER BY q_idx, s_idx) AS vs, list(q_ts ORDER BY q_idx, s_idx) AS qt, list(s_ts ORDER BY q_idx, s_idx) AS st, count(*) AS n FROM cp GROUP BY ALL),
+dp AS (SELECT shot_id, source_id, 0 AS i, []::DOUBLE[] AS best, []::BIGINT[] AS pred, qs, ss, vs, n FROM pts
+       UNION ALL SELECT shot_id, source_id, i + 1, list_append(best, vs[i + 1] + coalesce(list_max(cand), 0)), list_append(pred, CASE WHEN coalesce(list_max(cand), 0) > 0 THEN list_position(cand, list_max(cand)) ELSE 0 END), qs, ss, vs, n
+       FROM (SELECT *, list_transform(range(1, i + 1), lambda j: CASE WHEN qs[i + 1] - qs[j] BETWEEN 1 AND 10 AND ss[i + 1] - ss[j] BETWEEN 1 AND 10 AND ss[i + 1] - ss[j] >= 0.5 * (qs[i + 1] - qs[j]) AND ss[i + 1] - ss[j] <= 2 * (qs[i + 1] - qs[j]) THEN best[j] ELSE 0 END) AS cand FROM dp WHERE i < n)),
+fin AS (SELECT shot_id, source_id, list_position(best, list_max(best)) AS k, pred FROM dp WHERE i = n),
+bt AS (SELECT shot_id, source_id, k, pred FROM fin UNION ALL SELECT shot_id, source_id, pred[k], pred FROM bt WHERE pred[k] > 0),
+ch AS (SELECT shot_id, source_id, k FROM bt QUALIFY count(*) OVER (PARTITION BY shot_id, source_id) >= 3),
+tp AS (SELECT shot_id, source_id, qs[k] AS q_idx, qt[k] AS q_ts, ss[k] AS s_idx, st[k] AS s_ts, vs[k] AS sim FROM ch JOIN pts USING (shot_id, source_id)),
+du AS (SELECT source_id, max(ts) AS duration FROM ix GROUP BY source_id)
+"""
+
+
+def _fit_sql(rounds: int = 3) -> str:
+    """The robust time fit with its rounds written out."""
+    g = "PARTITION BY shot_id, source_id"
+    out = f", r0 AS (SELECT shot_id, source_id, q_ts AS q, s_ts AS s, TRUE AS m, FALSE AS stop, 1::DOUBLE AS slope, median(s_ts - q_ts) OVER ({g}) AS ic FROM tp)"
+    for k in range(1, rounds + 1):
+        out += f"""
+, a{k} AS (SELECT shot_id, source_id, count(*) AS c, max(q) - min(q) AS rg, greatest(0.5::DOUBLE, least(2::DOUBLE, regr_slope(s, q))) AS sl FROM r{k - 1} WHERE m GROUP BY ALL)
+, b{k} AS (SELECT r.*, c < 2 OR rg < 1e-9 AS flat, CASE WHEN c < 2 OR rg < 1e-9 THEN 1 ELSE sl END AS ns FROM r{k - 1} r JOIN a{k} USING (shot_id, source_id))
+, c{k} AS (SELECT shot_id, source_id, median(s - ns * q) AS ni FROM b{k} WHERE m GROUP BY ALL)
+, d{k} AS (SELECT b{k}.*, ni, abs(s - (ns * q + ni)) AS rs FROM b{k} JOIN c{k} USING (shot_id, source_id))
+, e{k} AS (SELECT shot_id, source_id, greatest(2 * stddev_pop(rs), 0.15::DOUBLE) AS thr FROM d{k} WHERE m GROUP BY ALL)
+, f{k} AS (SELECT *, rs <= thr AS nm FROM d{k} JOIN e{k} USING (shot_id, source_id))
+, g{k} AS (SELECT *, sum(nm::INT) OVER ({g}) AS nc, bool_and(nm = m) OVER ({g}) AS same, count(*) OVER ({g}) AS n FROM f{k})
+, h{k} AS (SELECT *, nc < greatest(2, floor(0.4::DOUBLE * n)) OR same AS last FROM g{k})
+, r{k} AS (SELECT shot_id, source_id, q, s, CASE WHEN stop OR flat OR (last AND nc < 2) THEN m ELSE nm END AS m, stop OR flat OR last AS stop, CASE WHEN stop THEN slope ELSE ns END AS slope, CASE WHEN stop THEN ic ELSE ni END AS ic FROM h{k})"""
+    return out + f"""
+, i0 AS (SELECT shot_id, source_id, any_value(slope) AS slope, any_value(ic) AS intercept, sqrt(avg(pow(s - (slope * q + ic), 2)) FILTER (WHERE m)) AS rmse, sum(pow(s - (slope * q + ic), 2)) FILTER (WHERE m) AS res,
+         var_pop(s) FILTER (WHERE m) * count(*) FILTER (WHERE m) AS tot, count(*)::INT AS n_points, (count(*) FILTER (WHERE m))::INT AS n_inliers FROM r{rounds} GROUP BY ALL)
+, fit AS (SELECT shot_id, source_id, slope, intercept, CASE WHEN tot > 1e-9 THEN greatest(0, least(1, 1 - res / tot)) WHEN rmse < 0.3 THEN 1 ELSE 0 END AS r2, rmse, n_points, n_inliers FROM i0)
+"""
+
+
+_MAPPED = """SELECT shot_id, source_id, greatest(0, least(duration, least(slope * "start" + intercept, slope * "end" + intercept))) AS source_start,
+    greatest(0, least(duration, greatest(slope * "start" + intercept, slope * "end" + intercept))) AS source_end FROM fit JOIN shots USING (shot_id) JOIN du USING (source_id)"""
+_TRACE = f""", ps AS (SELECT shot_id, source_id, avg(sim) AS visual, least(1, count(DISTINCT q_idx)::DOUBLE / (max(q_idx) - min(q_idx) + 1)) AS coverage FROM tp GROUP BY ALL)
+, mp AS ({_MAPPED})
+, al AS (SELECT *, visual * (0.5::DOUBLE + 0.5::DOUBLE * coverage) AS comp FROM ps JOIN fit USING (shot_id, source_id) JOIN mp USING (shot_id, source_id))
+, be AS (SELECT *, comp - greatest(coalesce(lead(comp) OVER w, 0), 0) AS margin, row_number() OVER w AS k FROM al WINDOW w AS (PARTITION BY shot_id ORDER BY comp DESC, source_id))
+, cf AS (SELECT s.shot_id, "start" AS query_start, "end" AS query_end, source_id, source_start, source_end, slope, comp, margin,
+    coalesce(greatest(0, least(1, (0.45::DOUBLE * greatest(0, least(1, visual)) + 0.25::DOUBLE * greatest(0, least(1, coverage)) + 0.15::DOUBLE * greatest(0, least(1, margin / (4 * 0.04::DOUBLE)))
+    + 0.15::DOUBLE * greatest(0, least(1, 0.5::DOUBLE * r2 + 0.5::DOUBLE * exp(-rmse / 0.5::DOUBLE)))) * (0.85::DOUBLE + 0.15::DOUBLE * greatest(0.4::DOUBLE, least(1, ("end" - "start") / 3))))), 0) AS confidence
+    FROM shots s LEFT JOIN (SELECT * FROM be WHERE k = 1) b USING (shot_id))
+, gr AS (SELECT *, CASE WHEN comp IS NULL OR source_end - source_start < 0.4::DOUBLE THEN 'UNKNOWN' WHEN margin < 0.04 AND confidence < 0.8 THEN 'UNKNOWN' WHEN confidence >= 0.8 THEN 'HIGH' WHEN confidence >= 0.65 THEN 'MEDIUM' WHEN confidence >= 0.5 THEN 'LOW' ELSE 'UNKNOWN' END AS status FROM cf)
+SELECT shot_id, round(query_start, 6) AS query_start, round(query_end, 6) AS query_end, CASE WHEN status <> 'UNKNOWN' THEN source_id::VARCHAR END AS source, round(CASE WHEN status <> 'UNKNOWN' THEN source_start END, 6) + 0.0 AS source_start,
+    round(CASE WHEN status <> 'UNKNOWN' THEN source_end END, 6) + 0.0 AS source_end, round(confidence, 6) AS confidence, status, round(CASE WHEN status <> 'UNKNOWN' THEN slope ELSE 1 END, 6) + 0.0 AS speed FROM gr"""
+
+
 def oracle_sql() -> dict[str, str]:
     b = lambda select, doubles, plain: BASE + _rounded(select, doubles, plain)
     return {
@@ -387,15 +437,10 @@ def oracle_sql() -> dict[str, str]:
         "adaptive_threshold": b("SELECT * FROM th", "threshold", "shot_id source_id"),
         "candidate_points": b("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shot_id, source_id, q_idx ORDER BY sim DESC, s_idx) AS r FROM sim) JOIN th USING (shot_id, source_id) WHERE r <= 5 AND (sim >= threshold OR (r = 1 AND sim >= 0.35))", "sim", "shot_id source_id q_idx s_idx"),
         "align_none": b("SELECT * FROM an", "sim", "shot_id source_id q_idx s_idx"),
-        "align_tn": BASE.replace("WITH fr AS", "WITH RECURSIVE fr AS", 1) + _POINTS + """,
-pts AS (SELECT shot_id, source_id, list(q_idx ORDER BY q_idx, s_idx) AS qs, list(s_idx ORDER BY q_idx, s_idx) AS ss, list(sim ORDER BY q_idx, s_idx) AS vs, list(q_ts ORDER BY q_idx, s_idx) AS qt, list(s_ts ORDER BY q_idx, s_idx) AS st, count(*) AS n FROM cp GROUP BY ALL),
-dp AS (SELECT shot_id, source_id, 0 AS i, []::DOUBLE[] AS best, []::BIGINT[] AS pred, qs, ss, vs, n FROM pts
-       UNION ALL SELECT shot_id, source_id, i + 1, list_append(best, vs[i + 1] + coalesce(list_max(cand), 0)), list_append(pred, CASE WHEN coalesce(list_max(cand), 0) > 0 THEN list_position(cand, list_max(cand)) ELSE 0 END), qs, ss, vs, n
-       FROM (SELECT *, list_transform(range(1, i + 1), lambda j: CASE WHEN qs[i + 1] - qs[j] BETWEEN 1 AND 10 AND ss[i + 1] - ss[j] BETWEEN 1 AND 10 AND ss[i + 1] - ss[j] >= 0.5 * (qs[i + 1] - qs[j]) AND ss[i + 1] - ss[j] <= 2 * (qs[i + 1] - qs[j]) THEN best[j] ELSE 0 END) AS cand FROM dp WHERE i < n)),
-fin AS (SELECT shot_id, source_id, list_position(best, list_max(best)) AS k, pred FROM dp WHERE i = n),
-bt AS (SELECT shot_id, source_id, k, pred FROM fin UNION ALL SELECT shot_id, source_id, pred[k], pred FROM bt WHERE pred[k] > 0),
-ch AS (SELECT shot_id, source_id, k FROM bt QUALIFY count(*) OVER (PARTITION BY shot_id, source_id) >= 3)
-""" + _rounded("SELECT shot_id, source_id, 0 AS path, qs[k] AS q_idx, qt[k] AS q_ts, ss[k] AS s_idx, st[k] AS s_ts, vs[k] AS sim FROM ch JOIN pts USING (shot_id, source_id)", "q_ts s_ts sim", "shot_id source_id path q_idx s_idx"),
+        "align_tn": _TN + _rounded("SELECT shot_id, source_id, 0 AS path, q_idx, q_ts, s_idx, s_ts, sim FROM tp", "q_ts s_ts sim", "shot_id source_id path q_idx s_idx"),
+        "robust_time_fit": _TN + _fit_sql() + _rounded("SELECT * FROM fit", "slope intercept r2 rmse", "shot_id source_id n_points n_inliers"),
+        "time_mapping": _TN + _fit_sql() + _rounded(_MAPPED, "source_start source_end", "shot_id source_id"),
+        "trace": _TN + _fit_sql() + _TRACE,
         "align_hv": BASE + _POINTS + """,
 sl AS (SELECT * FROM (VALUES (1, 0.8::DOUBLE), (2, 0.9), (3, 1.0), (4, 1.1), (5, 1.25)) t(o, k)),
 h0 AS (SELECT cp.*, o, s_idx - k * q_idx AS off FROM cp, sl),
