@@ -290,6 +290,14 @@ def _plan_rows():
         at += n
 
 
+def _truth_rows():
+    at = 0.0
+    for shot, n, label, first, speed, _ in planted.PLAN:
+        hidden = label == planted.WITHHELD
+        yield shot, at, at + n - 0.5, "_Hidden" if hidden else str(label), float(first), first + speed * (n - 0.5), speed, "unknown" if hidden else ""
+        at += n
+
+
 def _shot_rows():
     at = 0.0
     for shot, n, *_ in planted.PLAN:
@@ -336,22 +344,23 @@ _STAT = """WITH ev AS (SELECT user_id, event_id, value / (abs(value) + 100.0::DO
 ma AS (SELECT user_id, med, median(abs(score - med)) AS mad FROM ev JOIN md USING (user_id) GROUP BY ALL),
 st AS (SELECT user_id, med, mad, least(0.35::DOUBLE, greatest(0.12::DOUBLE, med + 6.0::DOUBLE * 1.4826::DOUBLE * mad)) AS threshold FROM ma)"""
 _SEG = f"WITH seg AS (SELECT * FROM (VALUES {_values(SEGMENTS)}) t(query_id, query_start, query_end, source, source_start, source_end, confidence, status, speed))"
-_EVAL = f"""WITH g AS (SELECT * FROM (VALUES {_values(TRUTH)}) t(id, query_start, query_end, source, source_start, source_end, speed, note)),
-p AS (SELECT * FROM (VALUES {_values(PREDICTIONS)}) t(id, query_start, query_end, source, source_start, source_end, confidence, status, speed)),
-m0 AS (SELECT g.*, p.id AS pid, p.query_start AS pq0, p.query_end AS pq1, p.source AS ps, p.source_start AS ps0, p.source_end AS ps1, p.status AS pst, p.speed AS psp,
+_DET = r"""m0 AS (SELECT g.*, p.id AS pid, p.query_start AS pq0, p.query_end AS pq1, p.source AS ps, p.source_start AS ps0, p.source_end AS ps1, p.status AS pst, p.speed AS psp,
        greatest(0, least(g.query_end, p.query_end) - greatest(g.query_start, p.query_start)) AS ov FROM g, p),
 m1 AS (SELECT * FROM m0 WHERE ov / greatest(query_end - query_start, 1e-9) >= 0.3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY ov DESC, pid) = 1),
-m AS (SELECT g.*, pid, pq0, pq1, ps, ps0, ps1, pst, psp, (g.source LIKE '\\_Hidden%' ESCAPE '\\' OR g.note LIKE '%unknown%') AS ux FROM g LEFT JOIN m1 USING (id)),
-d0 AS (SELECT *, coalesce(pid IS NOT NULL AND ps IS NOT NULL AND pst <> 'UNKNOWN', FALSE) AS named FROM m),
-d1 AS (SELECT *, coalesce(named AND ps = source, FALSE) AND NOT ux AS ok FROM d0),
-d2 AS (SELECT *, greatest(0, least(source_end, ps1) - greatest(source_start, ps0)) AS si, greatest(0, least(query_end, pq1) - greatest(query_start, pq0)) AS qi FROM d1),
+m AS (SELECT g.*, pid, pq0, pq1, ps, ps0, ps1, pst, psp, (g.source LIKE '\_Hidden%' ESCAPE '\' OR g.note LIKE '%unknown%') AS ux FROM g LEFT JOIN m1 USING (id)),
+det0 AS (SELECT *, coalesce(pid IS NOT NULL AND ps IS NOT NULL AND pst <> 'UNKNOWN', FALSE) AS named FROM m),
+det1 AS (SELECT *, coalesce(named AND ps = source, FALSE) AND NOT ux AS ok FROM det0),
+det2 AS (SELECT *, greatest(0, least(source_end, ps1) - greatest(source_start, ps0)) AS si, greatest(0, least(query_end, pq1) - greatest(query_start, pq0)) AS qi FROM det1),
 det AS (SELECT id, source, pid AS pred_id, ps AS pred_source, ux AS unknown_expected, CASE WHEN pid IS NULL THEN 'MISS' ELSE pst END AS status, ok AS source_correct,
        coalesce(ok AND si / ((source_end - source_start) + (ps1 - ps0) - si) >= 0.5, FALSE) AS segment_correct,
        CASE WHEN ok THEN si / ((source_end - source_start) + (ps1 - ps0) - si) END AS iou,
        CASE WHEN ok THEN si * qi / ((query_end - query_start) * (source_end - source_start) + (pq1 - pq0) * (ps1 - ps0) - si * qi) END AS iou_2d,
        CASE WHEN ok THEN abs(ps0 - source_start) END AS start_error, CASE WHEN ok THEN abs(ps1 - source_end) END AS end_error,
-       CASE WHEN ok THEN abs(ps0 + (query_start - pq0) * psp - source_start) END AS aligned_error, ux AND NOT named AS unknown_correct FROM d2),
+       CASE WHEN ok THEN abs(ps0 + (query_start - pq0) * psp - source_start) END AS aligned_error, ux AND NOT named AS unknown_correct FROM det2),
 fp AS (SELECT id, source FROM p WHERE source IS NOT NULL AND status <> 'UNKNOWN' AND id NOT IN (SELECT pred_id FROM det WHERE source_correct))"""
+_EVAL = f"""WITH g AS (SELECT * FROM (VALUES {_values(TRUTH)}) t(id, query_start, query_end, source, source_start, source_end, speed, note)),
+p AS (SELECT * FROM (VALUES {_values(PREDICTIONS)}) t(id, query_start, query_end, source, source_start, source_end, confidence, status, speed)),
+{_DET}"""
 _RUN = f"""WITH runs AS (SELECT * FROM (VALUES {_values(RUNS)}) t(config, "case", ok, source_recall, segment_recall, start_error, total_s, peak_mb)),
 ru AS (SELECT config, avg(source_recall) FILTER (WHERE source_recall >= 0) AS source_recall, avg(segment_recall) FILTER (WHERE segment_recall >= 0) AS segment_recall,
        avg(start_error) FILTER (WHERE start_error >= 0) AS start_error, avg(total_s) FILTER (WHERE total_s >= 0) AS total_s, max(peak_mb) AS peak_mb, count(*) AS n_runs FROM runs WHERE ok GROUP BY config)"""
@@ -441,6 +450,9 @@ def oracle_sql() -> dict[str, str]:
         "robust_time_fit": _TN + _fit_sql() + _rounded("SELECT * FROM fit", "slope intercept r2 rmse", "shot_id source_id n_points n_inliers"),
         "time_mapping": _TN + _fit_sql() + _rounded(_MAPPED, "source_start source_end", "shot_id source_id"),
         "trace": _TN + _fit_sql() + _TRACE,
+        "trace_evaluated": _TN + _fit_sql() + _TRACE[: _TRACE.rindex("SELECT shot_id")] + f""", g AS (SELECT * FROM (VALUES {_values(_truth_rows())}) t(id, query_start, query_end, source, source_start, source_end, speed, note)),
+p AS (SELECT shot_id AS id, query_start, query_end, CASE WHEN status <> 'UNKNOWN' THEN source_id::VARCHAR END AS source, CASE WHEN status <> 'UNKNOWN' THEN source_start END AS source_start, CASE WHEN status <> 'UNKNOWN' THEN source_end END AS source_end, confidence, status, CASE WHEN status <> 'UNKNOWN' THEN slope ELSE 1 END AS speed FROM gr),
+{_DET}""" + _rounded("SELECT * FROM det", "iou iou_2d start_error end_error aligned_error", "id source pred_id pred_source unknown_expected status source_correct segment_correct unknown_correct"),
         "align_hv": BASE + _POINTS + """,
 sl AS (SELECT * FROM (VALUES (1, 0.8::DOUBLE), (2, 0.9), (3, 1.0), (4, 1.1), (5, 1.25)) t(o, k)),
 h0 AS (SELECT cp.*, o, s_idx - k * q_idx AS off FROM cp, sl),
