@@ -256,7 +256,9 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> QualityModel:
     part = min(1.0, train_docs / n)
     sample = docs.select("doc_id", "text")
     if part < 1:
-        sample = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).limit(2 * train_docs)
+        sample = sample.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < int(part * 1_000_000_000))
+        if sample.select("doc_id").count() > 2 * train_docs:  # only where many rows share a doc_id: a limit makes one task of it
+            sample = sample.limit(2 * train_docs)
 
     def rows(batches):
         for block in batches:
