@@ -243,11 +243,21 @@ class IndexEncoder:
         return b"".join(map(self.vocab.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+_ENCODERS: dict[str, IndexEncoder] = {}
+
+
+def encoder_for(path: str) -> IndexEncoder:
+    """This process's encoder of a vocabulary: a worker keeps it, and the chunks it knows, from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = IndexEncoder(path)
+    return _ENCODERS[path]
+
+
 def encode_decode(docs: DataFrame, vocab: str = "byte_bpe_50k.json") -> DataFrame:
     """doc_id, number of ids, SHA-256 of the decimal ids joined by commas and of the decoded text, for every row."""
 
     def run(batches):
-        encoder = IndexEncoder(vocabulary(vocab))
+        encoder = encoder_for(vocabulary(vocab))
         for block in blocks(batches, max_bytes=BLOCK_BYTES):
             n, ids, texts = [], [], []
             for at in encoder.numbers(texts_of(block)):

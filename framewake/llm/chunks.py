@@ -73,3 +73,13 @@ class ChunkEncoder:
         of = np.repeat(np.arange(len(texts)), [len(x) for x in found])
         del flat  # the array can't grow while numpy looks at it
         return out, np.bincount(of, each, len(texts)).astype(np.int64)
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder_for(path: str) -> ChunkEncoder:
+    """This process's encoder of a vocabulary: a worker keeps it, and the chunks it knows, from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]

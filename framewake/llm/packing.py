@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .chunks import ChunkEncoder, vocabulary
+from .chunks import encoder_for, vocabulary
 from .common import blocks, texts_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -101,7 +101,7 @@ def pack_documents(docs: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: in
     """
 
     def run(batches):
-        encoder = ChunkEncoder(vocabulary(vocab))
+        encoder = encoder_for(vocabulary(vocab))
         packer = VectorPacker(tokens, segments, loss, _cut)
         at = TaskContext.get().partitionId() * SEQUENCES
 

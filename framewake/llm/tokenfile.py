@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, vocabulary
+from .chunks import encoder_for, vocabulary
 from .common import blocks, shared_dir, texts_of
 
 MAGIC = b"FWIDS1\0\0"
@@ -152,7 +152,7 @@ def write_token_files(docs: DataFrame, path: str, vocab: str = "word_bpe_49k.jso
     """Images of all documents in ascending doc_id order as rows (part, seq, n_docs, n_ids, image) of a table at path."""
 
     def run(batches):
-        encoder, part, seq = ChunkEncoder(vocabulary(vocab)), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_for(vocabulary(vocab)), TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         lengths: list[int] = []
         names: list[int | None] = []
