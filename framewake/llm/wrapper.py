@@ -23,8 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Pages of a block, about, and the most that a task holds at once in pages and characters.
 BLOCK_PAGES, HELD_PAGES, HELD_CHARS = 48, 96, 8 << 20
+#: Hosts of more than one block that are broadcast (a name and a number each).
+LISTED_HOSTS = 100_000
 #: Distinct pages that must agree on a text inside the container before it counts as template.
 TEMPLATE_PAGES = 8
 #: Cells of one child alignment table; longer child lists are aligned from both ends.
@@ -334,7 +338,9 @@ def main_text(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     # only hosts with more pages than a block are listed; the others are one block
     big = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_pages).select("host", F.ceil(F.col("n") / block_pages).cast("int").alias("blocks"))
-    salted = rows.join(big, "host", "left").select("page_id", "url", "html", "host", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("blocks")), F.lit(0)).alias("block"))
+    # the pages themselves move once, to their blocks: the list is broadcast where its measured size allows it
+    big = stored(big, "hosts")
+    salted = rows.join(F.broadcast(big) if big.count() <= LISTED_HOSTS else big, "host", "left").select("page_id", "url", "html", "host", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("blocks")), F.lit(0)).alias("block"))
 
     def run(batches):
         key, held, size = None, [], 0
