@@ -5,7 +5,9 @@
    page by page, so no key seen in two documents is missed. Filters have a bounded, documented size; a fuller filter
    suspects more keys and costs time, never rows.
 2. Only keys that the twice-seen filter holds are counted exactly: per task first, then by one shuffle of key and count.
-3. Frequent keys are broadcast if their measured size allows it; otherwise suspects meet them in a shuffled join and
+3. Where the first occurrence is to stay, the same shuffle finds the least place of each key: that of the smallest doc_id
+   (of repeated ids, the first row of the scan; null ids last). The key's first line there is kept, all others go.
+4. Frequent keys are broadcast if their measured size allows it; otherwise suspects meet them in a shuffled join and
    each text is told its own keys. The result is the same.
 
 A document is a row: repeated rows count each. Null and empty texts are one empty line. Lines of white space have an
@@ -128,53 +130,89 @@ def _long(key: bytes, min_chars: int) -> bool:
     return len(key) > 0 if min_chars == 1 else len(key.decode("utf-8", "replace")) >= min_chars
 
 
-def frequent_lines(docs: DataFrame, suspects: Bloom, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """key, n_docs of the keys in at least min_docs documents, counted exactly among the suspects."""
+def frequent_lines(docs: DataFrame, suspects: Bloom, min_docs: int = 10, min_chars: int = 1, place: str | None = None) -> DataFrame:
+    """key, n_docs of the keys in at least min_docs documents, counted exactly among the suspects.
+
+    With the name of a column that numbers the rows, also stays: the number of the row that holds the key first.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((suspects.bits, suspects.data.tobytes()))
 
     def count(batches):
         bits, data = shared.value
-        bloom, held, size = Bloom(bits, np.frombuffer(data, np.uint8)), Counter(), 0
+        bloom, held, first, size = Bloom(bits, np.frombuffer(data, np.uint8)), Counter(), {}, 0
         for block in blocks(batches):
-            keys = [k for text in texts_of(block) for k in {x for x in keys_of(text)[1] if _long(x, min_chars)}]
+            each = [[k for k in {x for x in keys_of(text)[1] if _long(x, min_chars)}] for text in texts_of(block)]
+            keys = [k for ks in each for k in ks]
             if keys:
-                new = [k for k, hit in zip(keys, bloom.has(_hashes(keys)), strict=True) if hit]
+                hits = bloom.has(_hashes(keys))
+                new = [k for k, hit in zip(keys, hits, strict=True) if hit]
                 size += sum(map(len, new))
                 held.update(new)
+                if place is not None:
+                    at = [(i is None, i or 0, p) for i, p in zip(block.column("doc_id").to_pylist(), block.column(place).to_pylist(), strict=True)]
+                    rows = np.repeat(np.arange(len(each)), [len(ks) for ks in each])[hits].tolist()
+                    for k, row in zip(new, rows, strict=True):
+                        if k not in first or at[row] < first[k]:
+                            first[k] = at[row]
             if len(held) > HELD_KEYS or size > HELD_BYTES:
-                yield _counted(held)
-                held, size = Counter(), 0
+                yield _counted(held, first)
+                held, first, size = Counter(), {}, 0
         if held:
-            yield _counted(held)
+            yield _counted(held, first)
 
-    found = docs.select("text").mapInArrow(count, "key binary, n long")
-    return found.groupBy("key").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    if place is None:
+        found = docs.select("text").mapInArrow(count, "key binary, n long")
+        return found.groupBy("key").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place, "text").mapInArrow(count, "key binary, n long, no_id boolean, id long, place long")
+    each = found.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min(F.struct("no_id", "id", "place")).alias("first"))
+    return each.where(F.col("n_docs") >= min_docs).select("key", "n_docs", F.col("first.place").alias("stays"))
 
 
-def _counted(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["key", "n"])
+def _counted(held: Counter, first: dict) -> pa.RecordBatch:
+    arrays = {"key": pa.array(held.keys(), pa.binary()), "n": pa.array(held.values(), pa.int64())}
+    if first:
+        for name, kind, column in zip(("no_id", "id", "place"), (pa.bool_(), pa.int64(), pa.int64()), zip(*(first[k] for k in held), strict=True), strict=True):
+            arrays[name] = pa.array(column, kind)
+    return pa.RecordBatch.from_pydict(arrays)
 
 
-def _drop(text: str, frequent) -> tuple[str, int, int]:
+def _drop(text: str, frequent, own=()) -> tuple[str, int, int]:
+    """The text without its frequent lines, but with the first line of each key of its own; lines before, lines dropped."""
     lines, keys = keys_of(text)
-    kept = [x for x, k in zip(lines, keys, strict=True) if k not in frequent]
+    if own:
+        kept, due = [], set(own)
+        for x, k in zip(lines, keys, strict=True):
+            if k not in frequent or k in due:
+                kept.append(x)
+                due.discard(k)
+    else:
+        kept = [x for x, k in zip(lines, keys, strict=True) if k not in frequent]
     return b"\n".join(kept).decode("utf-8", "surrogatepass"), len(lines), len(lines) - len(kept)
 
 
-def _applied(docs: DataFrame, min_docs: int, min_chars: int, columns: list[str], schema: str, make, broadcast_bytes: int) -> DataFrame:
+def _applied(docs: DataFrame, min_docs: int, min_chars: int, columns: list[str], schema: str, make, broadcast_bytes: int, first: bool = False) -> DataFrame:
     """make(block, [(kept text, n_lines, n_dropped), ...]) over docs[columns], which include text."""
     spark = docs.sparkSession
+    place = fresh(docs, "place")[0] if first else None
+    if first:
+        docs = docs.withColumn(place, F.monotonically_increasing_id())
     suspects = twice_seen(docs, filter_bits(docs.count()), min_chars)
-    frequent = stored(frequent_lines(docs, suspects, min_docs, min_chars), "lines")
-    size = frequent.agg(F.coalesce(F.sum(F.length("key") + 64), F.lit(0))).first()[0]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns])
+    frequent = stored(frequent_lines(docs, suspects, min_docs, min_chars, place), "lines")
+    size = frequent.agg(F.coalesce(F.sum(F.length("key") + (192 if first else 64)), F.lit(0))).first()[0]
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], *([place] if first else []))
     if size <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in frequent.select("key").toLocalIterator()))
+        known, owned = set(), {}
+        for r in frequent.toLocalIterator():
+            known.add(key := bytes(r["key"]))
+            if first:
+                owned.setdefault(r["stays"], []).append(key)
+        shared = spark.sparkContext.broadcast((known, owned))
 
         def run(batches):
-            known = shared.value
+            known, owned = shared.value
             for block in blocks(batches):
-                yield make(block, [_drop(t, known) for t in texts_of(block)])
+                own = [owned.get(p, ()) for p in block.column(place).to_pylist()] if first else [()] * block.num_rows
+                yield make(block.select(columns), [_drop(t, known, o) for t, o in zip(texts_of(block), own, strict=True)])
 
         return rows.mapInArrow(run, schema)
     bits, data = suspects.bits, spark.sparkContext.broadcast(suspects.data.tobytes())
@@ -192,13 +230,16 @@ def _applied(docs: DataFrame, min_docs: int, min_chars: int, columns: list[str],
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["digest", "key"])
 
     per_text = docs.select("text").mapInArrow(occurrences, "digest binary, key binary").join(frequent.select("key"), "key", "left_semi").groupBy("digest").agg(F.collect_set("key").alias("keys"))
-    digest, keys = fresh(rows, "digest", "keys")
+    digest, keys, own = fresh(rows, "digest", "keys", "own")
     told = rows.withColumn(digest, text_digest()).join(per_text.withColumnsRenamed({"digest": digest, "keys": keys}), digest, "left").drop(digest)
+    if first:
+        told = told.join(frequent.groupBy(F.col("stays").alias(place)).agg(F.collect_list("key").alias(own)), place, "left")
 
     def run_told(batches):
         for block in blocks(batches):
             each = [frozenset(x or ()) for x in block.column(keys).to_pylist()]
-            yield make(block.select(columns), [_drop(t, k) for t, k in zip(texts_of(block), each, strict=True)])
+            mine = [x or () for x in block.column(own).to_pylist()] if first else [()] * block.num_rows
+            yield make(block.select(columns), [_drop(t, k, o) for t, k, o in zip(texts_of(block), each, mine, strict=True)])
 
     return told.mapInArrow(run_told, schema)
 
@@ -215,8 +256,12 @@ def line_digests(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadc
     return _applied(docs, min_docs, min_chars, ["doc_id", "text"], "doc_id long, n_lines long, n_dropped long, kept_sha256 string", make, broadcast_bytes)
 
 
-def dedupe_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs without the frequent lines: text holds what stays (n_chars, if there, its length), all else is handed through."""
+def dedupe_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = BROADCAST_BYTES, first: bool = False) -> DataFrame:
+    """docs without the frequent lines: text holds what stays (n_chars, if there, its length), all else is handed through.
+
+    With first, the first occurrence of each frequent line stays. Rows are told apart by their place in the scan then, so
+    docs must be a stored table (or a narrow projection of one).
+    """
     columns = docs.columns
 
     def make(block, results):
@@ -230,4 +275,4 @@ def dedupe_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadc
                 arrays.append(block.column(field.name))
         return pa.RecordBatch.from_arrays(arrays, names=block.schema.names)
 
-    return _applied(docs, min_docs, min_chars, columns, docs.schema, make, broadcast_bytes)
+    return _applied(docs, min_docs, min_chars, columns, docs.schema, make, broadcast_bytes, first)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from framewake.llm import components, linededup, simhash
 
 from .helpers import documents, empty
@@ -41,6 +42,48 @@ def test_frequent_lines_go_in_both_ways(spark, broadcast_bytes):
     assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted((r.doc_id or -1, w) for r, w in zip(rows, want, strict=True))
 
 
+def brute_first(rows, least=10):
+    """What stays if each frequent line stays at its first occurrence: the smallest doc_id, then the order of the rows."""
+    often = defaultdict(set)
+    for k, r in enumerate(rows):
+        for line in (r.text or "").split("\n"):
+            often[lower(line.strip(WHITE))].add(k)
+    due = {k for k, v in often.items() if k and len(v) >= least}
+    often, out = set(due), [None] * len(rows)
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k].doc_id is None, rows[k].doc_id or 0, k)):
+        kept = []
+        for line in (rows[k].text or "").split("\n"):
+            key = lower(line.strip(WHITE))
+            if key not in often or key in due:
+                kept.append(line)
+                due.discard(key)
+        out[k] = "\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, -1])
+def test_the_first_occurrence_stays_in_both_ways(spark, tmp_path, broadcast_bytes):
+    clean = "A clean text of its own.\nIt has three lines.\nNobody else has them."
+    documents(spark, [clean] * 12 + SHARED + ["twice\nin one\ntwice"] * 11).repartition(5).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    rows = docs.collect()
+    got = linededup.dedupe_lines(docs, broadcast_bytes=broadcast_bytes, first=True)
+    assert got.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    key = lambda t: (t[0] is None, t[0] or 0, t[1])
+    assert sorted(found, key=key) == sorted(((r.doc_id, w) for r, w in zip(rows, brute_first(rows), strict=True)), key=key)
+    assert [t for _, t in found].count(clean) == 1 and [t for _, t in found].count("twice\nin one") == 1
+
+
+def test_the_pipeline_keeps_one_of_many_copies(spark, tmp_path):
+    clean = "\n".join(f"Sentence number {i} of a text that many rows hold in full." for i in range(8))
+    documents(spark, [clean] * 15).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    corpus_pipeline.line_dedup(spark, docs, "").write.parquet(str(tmp_path / "lines"))
+    left = corpus_pipeline.near_dedup(spark, spark.read.parquet(str(tmp_path / "lines")), "")
+    assert [r.text for r in left.collect()].count(clean) == 1
+
+
 def test_saturated_filters_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(linededup, "LEAST_BITS", linededup.PAGE)
     monkeypatch.setattr(linededup, "MOST_BITS", linededup.PAGE)
