@@ -123,6 +123,18 @@ def test_shots_cover_the_time_line(spark, cuts, duration):
     assert [list(g[1:]) for g in got] == [pytest.approx(w) for w in want]
 
 
+def test_shots_are_built_for_every_user(spark):
+    got, want = {}, {}
+    for r in catalogue.queries()["build_shots"](spark, SF).orderBy("user_id", "shot_id").collect():
+        got.setdefault(r.user_id, []).append([r.start, r.end])
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id").collect():
+        want.setdefault(r.user_id, []).append(r.event_id / 100.0)
+    assert set(got) == set(want)
+    for user, times in want.items():
+        brute = brute_shots(times, max(times) + 3.0, 2.0, 8.0)
+        assert len(got[user]) == len(brute) and all(g == pytest.approx(w, abs=2e-6) for g, w in zip(got[user], brute, strict=True))
+
+
 def test_cuts_are_found_where_frames_change(spark):
     pixels = [[10] * 16] * 5 + [[200] * 16] * 5 + [[90] * 16] * 5
     df = spark.createDataFrame([(1, k, p) for k, p in enumerate(pixels)], "m int, k int, pixels array<int>").withColumn("hist", shots.gray_histogram(F.col("pixels")))
