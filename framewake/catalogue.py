@@ -182,10 +182,10 @@ def _views(s, d):
 
 
 def _encoded(s, d):
-    """The first bytes of each document as a frame of 8 x 8 pixels."""
-    docs = _table(s, d, "documents").where("length(cast(text as binary)) >= 192")
-    frames = docs.select(F.lit(1).alias("media_id"), F.col("doc_id").alias("frame_idx"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.substring(F.col("text").cast("binary"), 1, 192).alias("pixels"))
-    return features.encode(frames).select("frame_idx", F.size("descriptor").alias("dim"), fs.dot(F.col("descriptor"), F.col("descriptor")).alias("square"), "error")
+    """Each document's bytes as frames of 8 x 8 pixels, the last one padded; null and empty texts are one frame in error."""
+    frames = features.byte_frames(_table(s, d, "documents"), "doc_id", "text", 8)
+    e = features.encode(frames, keys=("doc_id", "frame_idx"))
+    return e.select("doc_id", "frame_idx", F.size("descriptor").alias("dim"), fs.dot(F.col("descriptor"), F.col("descriptor")).alias("square"), "error")
 
 
 def _refined(s, d):

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import l2_normalize
 
 GRID, COLOURS, ANGLES = 4, 8, 8
+#: Frames that a task encodes at once.
+HELD_FRAMES = 1024
 
 
 def centre_crop(frames: np.ndarray, ratio: float) -> np.ndarray:
@@ -66,9 +68,9 @@ def encode(frames: DataFrame, encoder: str = "colorhist", keys: tuple[str, ...]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.select(*keys).schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, HELD_FRAMES) for whole in batches for i in range(0, whole.num_rows, HELD_FRAMES)):
             h, w, raw = (batch.column(c).to_pylist() for c in ("height", "width", "pixels"))
-            out, error = [None] * batch.num_rows, [None] * batch.num_rows
+            error, size, done = [None] * batch.num_rows, np.zeros(batch.num_rows + 1, np.int32), []
             groups: dict[tuple[int, int], list[int]] = {}
             for k in range(batch.num_rows):
                 if raw[k] is None or not h[k] or not w[k] or len(raw[k]) != h[k] * w[k] * 3 or min(h[k], w[k]) < 8:
@@ -77,13 +79,31 @@ def encode(frames: DataFrame, encoder: str = "colorhist", keys: tuple[str, ...]
                     groups.setdefault((h[k], w[k]), []).append(k)
             for (a, b), at in groups.items():
                 pixels = np.stack([np.frombuffer(raw[k], np.uint8).reshape(a, b, 3) for k in at])
-                for k, v in zip(at, fn(centre_crop(pixels, crop) if crop < 1 else pixels), strict=True):
-                    out[k] = v.tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(out, pa.list_(pa.float64())), pa.array(error, pa.string())], [*keys, "descriptor", "error"])
+                done.append((np.array(at), fn(centre_crop(pixels, crop) if crop < 1 else pixels)))
+                size[done[-1][0] + 1] = done[-1][1].shape[1]
+            offsets = np.cumsum(size, dtype=np.int32)
+            flat = np.empty(int(offsets[-1]))
+            for at, v in done:
+                flat[offsets[at][:, None] + np.arange(v.shape[1])] = v
+            out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([x is not None for x in error], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), out, pa.array(error, pa.string())], [*keys, "descriptor", "error"])
 
     return frames.select(*keys, "height", "width", "pixels").mapInArrow(run, f"{kinds}, descriptor array<double>, error string")
 
 
+def byte_frames(rows: DataFrame, key: str, text: str, side: int) -> DataFrame:
+    """All bytes of each text as square RGB frames, the last one padded with zeros: key, frame_idx, height, width, pixels.
+
+    A null or an empty text is one frame with these pixels.
+    """
+    size = 3 * side * side
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_b"), F.lit(1)), F.lit(size))
+    pieces = F.when(F.length("_b") > 0, F.transform(starts, lambda k: F.substring(F.col("_b"), k, size))).otherwise(F.array("_b"))
+    each = rows.select(key, F.col(text).cast("binary").alias("_b")).select(key, F.posexplode(pieces).alias("frame_idx", "_p"))
+    padded = F.when(F.length("_p") > 0, F.rpad("_p", size, F.lit(b"\0"))).otherwise(F.col("_p"))
+    return each.select(key, "frame_idx", F.lit(side).alias("height"), F.lit(side).alias("width"), padded.alias("pixels"))
+
+
 def mean_of_views(views: DataFrame, *keys: str) -> DataFrame:
     """The unit mean of several descriptors of each frame, by place."""
     places = views.select(*keys, F.posexplode("descriptor").alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("x"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from framewake import catalogue, config
 from framewake.functions import scalars as fs
-from framewake.operators import merge, report, retrieval, shots
+from framewake.operators import features, merge, report, retrieval, shots
 from framewake.plans import planted
 from framewake.sources import media
 
@@ -220,6 +220,23 @@ def test_frame_descriptors(spark):
         features.encode(spark.createDataFrame([], "media_id int, frame_idx int, height int, width int, pixels binary"), "x")
 
 
+def test_every_byte_of_a_document_is_in_a_frame(spark, tmp_path):
+    texts = [None, "", "short", "x" * 192, "y" * 193, "\u00e9\u65e5" * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    frames = {}
+    for r in features.byte_frames(docs, "doc_id", "text", 8).orderBy("doc_id", "frame_idx").collect():
+        frames.setdefault(r.doc_id, []).append(r.pixels)
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        n = max(1, -(-len(raw) // 192))
+        assert len(frames[k]) == n and all(p is None or len(p) in (0, 192) for p in frames[k])
+        assert b"".join(bytes(p or b"") for p in frames[k]) == (raw.ljust(192 * n, b"\0") if raw else b"")
+    got = catalogue.queries()["frame_descriptors"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.frame_idx) for r in got) == [(k, i) for k in range(len(texts)) for i in range(len(frames[k]))]
+    assert all((r.error is not None) == (r.doc_id < 2) for r in got) and all(r.square == pytest.approx(1) and r.dim == 512 for r in got if r.doc_id >= 2)
+
+
 def test_refinement_stays_near_the_coarse_interval(spark):
     got = {r.shot_id: r for r in catalogue.queries()["refined_segments"](spark, SF).collect()}
     assert got[1].source_start == pytest.approx(10.0) and got[8].slope == pytest.approx(2.0) and got[4].visual > 0.5
