@@ -4,9 +4,10 @@ Pages of a host meet in blocks of bounded size (a hot host has many blocks). In
 with the block's wrapper tree by simple tree matching: the largest set of node pairs that keeps order and parents, of
 equal tag and class. A wrapper node whose text is the same on all distinct pages of the block is template; one whose
 text varies, or page nodes that no wrapper node matches, are slots. Content is what stands in slots of the main
-container, outside regions whose role (tag, class, id, ARIA role) is navigation, advert, form, comment and the like:
-such regions vary from page to page too, so variation alone does not make content. The container is the article
-or main element, or else the smallest element that holds most of the varying text which is no link.
+containers, outside regions whose role (tag, class, id, ARIA role) is navigation, advert, form, comment and the like:
+such regions vary from page to page too, so variation alone does not make content. The containers are all
+outermost article elements, or else main elements, or else the page without what stands beside the way to its heaviest
+block and holds nothing but template, noise and links.
 
 Null and empty html give an empty text. Pages without url form a host of their own. Repeated rows get equal results: equal pages
 count once in a block. Broken markup never raises: unclosed elements end where their parents do. An empty table gives an
@@ -241,7 +242,12 @@ def _weight(node: Node, wrapper: Wrapper | None, matched: dict, inside: dict[int
     return total
 
 
-def container(page: Node, wrapper: Wrapper | None, matched: dict) -> Node:
+def container(page: Node, wrapper: Wrapper | None, matched: dict) -> tuple[list[Node], set[int], set[int]]:
+    """The outermost elements that hold the main text, in order; ids of nodes in them to leave out; ids of those whose own text to leave out.
+
+    Without article or main it is the page, less what stands beside the way to its heaviest block and is template, noise
+    or link text only.
+    """
     named: dict[str, list[Node]] = {"article": [], "main": []}
     for n in _walk(page):
         if n.noise:
@@ -252,24 +258,28 @@ def container(page: Node, wrapper: Wrapper | None, matched: dict) -> Node:
             named["main"].append(n)
     for kind in ("article", "main"):
         if named[kind]:
-            if len(named[kind]) == 1:
-                return named[kind][0]
-            inside: dict[int, int] = {}
-            _weight(page, wrapper, matched, inside)
-            return max(named[kind], key=lambda n: inside.get(id(n), 0))
-    inside = {}
+            own = {id(n) for n in named[kind]}
+            nested = {id(x) for n in named[kind] for c in n.nodes() for x in _walk(c) if not c.noise and id(x) in own}
+            return [n for n in named[kind] if id(n) not in nested][::-1], set(), set()  # _walk takes the last child first
+    inside: dict[int, int] = {}
     whole = _weight(page, wrapper, matched, inside)
-    at = page
+    at, left, mute = page, set(), set()
     while True:
         below = [c for c in at.nodes() if not c.noise and c.tag in BLOCK and inside.get(id(c), 0) >= 0.7 * whole and c.tag not in ("p", "li", "td", "pre", "blockquote")]
         if not whole or not below:
-            return at
+            for c in at.nodes():  # the innermost block's header holds its title
+                c.noise = c.noise and c.tag != "header"
+            return [page], left, mute
+        if wrapper is not None and wrapper.constant(at, matched, 2):
+            mute.add(id(at))
+        left.update(id(c) for c in at.nodes() if c is not below[0] and c.tag not in VOID and not inside.get(id(c), 0))
         at = below[0]
 
 
 def text_of(page: Node, wrapper: Wrapper | None, matched: dict) -> str:
-    """The blocks of the container, joined by empty lines."""
-    top = container(page, wrapper, matched)
+    """The blocks of the containers, joined by empty lines."""
+    tops, left, mute = container(page, wrapper, matched)
+    heads = {id(n) for n in tops}
     done: list[str] = []
     line: list[str] = []
 
@@ -283,8 +293,8 @@ def text_of(page: Node, wrapper: Wrapper | None, matched: dict) -> str:
     def visit(node: Node) -> None:
         for c in node.children:
             if c.__class__ is str:
-                line.append(c)
-            elif c.noise and not (c.tag == "header" and node is top):
+                line.append(" " if id(node) in mute else c)
+            elif id(c) in left or c.noise and not (c.tag == "header" and id(node) in heads):
                 line.append(" ") if c.tag not in BLOCK else end()
             elif c.tag in BLOCK:
                 end()
@@ -296,9 +306,10 @@ def text_of(page: Node, wrapper: Wrapper | None, matched: dict) -> str:
             else:
                 visit(c)
 
-    if top.tag == "header" or not top.noise:
-        visit(top)
-    end()
+    for top in tops:
+        if top.tag == "header" or not top.noise:
+            visit(top)
+        end()
     return "\n\n".join(done)
 
 

@@ -73,6 +73,17 @@ def test_pages_without_an_article_take_the_varying_part():
     assert wrapper.extract(pages)[3] == "text of page 3 that goes on\n\nmore 3 of it"
 
 
+def test_no_part_of_a_split_text_is_lost():
+    lead, body = "<div class=lead><p>lead {0} of some length</p></div>", "<div class=body><p>{0} " + "body text that goes on " * 4 + "</p><p>{0} end</p></div>"
+    split = f"<div id=content>{lead}{body}</div><div><a href=/x>link {{0}}</a></div><div>same for all</div>"
+    for n in (1, 6):
+        got = wrapper.extract([PAGE.format(k, split.format(k)) for k in range(n)])[n - 1]
+        assert got.startswith(f"lead {n - 1} of some length\n\n{n - 1} body text") and f"{n - 1} end" in got and "link" not in got
+    two = "<article><h2>one {0}</h2><p>short {0}</p></article><p>between</p><article><p>{0} " + "long text " * 9 + "</p><article>inner {0}</article></article>"
+    got = wrapper.extract([PAGE.format(k, two.format(k)) for k in range(3)])[1]
+    assert got == "one 1\n\nshort 1\n\n1 " + ("long text " * 9).strip() + "\n\ninner 1"
+
+
 def test_simple_tree_matching_is_the_largest_mapping():
     def tree(spec):
         node = wrapper.Node(spec[0])
