@@ -2,8 +2,8 @@
 
 Pages of a host meet in blocks of bounded size (a hot host has many blocks). In a block, each page's DOM tree is aligned
 with the block's wrapper tree by simple tree matching: the largest set of node pairs that keeps order and parents, of
-equal tag and class. A wrapper node whose text is the same on all distinct pages of the block is template; one whose
-text varies, or page nodes that no wrapper node matches, are slots. Content is what stands in slots of the main
+equal tag and class; nodes that no wrapper node matches are added to the wrapper. A wrapper node whose text is the same on
+nearly all distinct pages of the block that have it is template; one whose text varies, or is on few pages, is a slot. Content is what stands in slots of the main
 containers, outside regions whose role (tag, class, id, ARIA role) is navigation, advert, form, comment and the like:
 such regions vary from page to page too, so variation alone does not make content. The containers are all
 outermost article elements, or else main elements, or else the page without what stands beside the way to its heaviest
@@ -18,22 +18,24 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Pages of a block, about, and the most that a task holds at once in pages and characters.
+#: Pages of a block, about, and the most that a task holds at once in distinct pages and their characters.
 BLOCK_PAGES, HELD_PAGES, HELD_CHARS = 48, 96, 8 << 20
 #: Hosts of more than one block that are broadcast (a name and a number each).
 LISTED_HOSTS = 100_000
 #: Distinct pages that must agree on a text inside the container before it counts as template.
 TEMPLATE_PAGES = 8
-#: Cells of one child alignment table; longer child lists are aligned from both ends.
-CELLS = 1600
+#: Share of the pages with a node that must agree on its text before it counts as template.
+TEMPLATE_SHARE = 0.9
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -63,10 +65,10 @@ _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "kind", "noise", "size")
+    __slots__ = ("tag", "attrs", "children", "kind", "noise", "size", "shape")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.children, self.size = tag, [], 1
+        self.tag, self.children, self.size, self.shape = tag, [], 1, 0
         self.attrs = attributes(attrs) if attrs and not attrs.isspace() else {}
         self.kind = tag if not self.attrs else f"{tag}.{self.attrs.get('class', '')}"
         self.noise = tag in NEVER or bool(self.attrs) and self._noisy()
@@ -130,61 +132,74 @@ def parse(page: str) -> Node:
 
 
 def _sizes(node: Node) -> int:
-    node.size = 1 + sum(_sizes(c) for c in node.nodes())
+    below = node.nodes()
+    node.size = 1 + sum(_sizes(c) for c in below)
+    node.shape = hash((node.kind, *[c.shape for c in below]))
     return node.size
 
 
-def match(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> int:
-    """Simple tree matching of two trees: the number of matched nodes; appends the matched pairs."""
+def match(a: Node, b: Node, pairs: list[tuple[Node, Node]], known: dict | None = None) -> int:
+    """Simple tree matching of two trees: the number of matched nodes; appends the matched pairs.
+
+    known keeps the numbers of pairs of shapes, for further calls.
+    """
     if a.kind != b.kind:
         return 0
+    known = {} if known is None else known
     pairs.append((a, b))
+    return 1 + sum(match(p, q, pairs, known) for p, q in _children(a, b, known))
+
+
+def _matched(p: Node, q: Node, known: dict) -> int:
+    """The number of matched nodes of two trees."""
+    if p.kind != q.kind:
+        return 0
+    if p.shape == q.shape or p.size == 1 or q.size == 1:
+        return min(p.size, q.size)
+    key = (p.shape, q.shape)
+    if key not in known:
+        known[key] = 1 + sum(_matched(x, y, known) for x, y in _children(p, q, known))
+    return known[key]
+
+
+def _children(a: Node, b: Node, known: dict) -> list[tuple[Node, Node]]:
+    """The pairs of a best alignment of the children; equal ends match each other in some best one."""
     x, y = a.nodes(), b.nodes()
-    total = 1
-    # equal ends need no table: a pair of leaves of one kind matches in some best alignment
-    lo = 0
-    while lo < len(x) and lo < len(y) and x[lo].kind == y[lo].kind and (x[lo].size == 1 and y[lo].size == 1 or _only(x, y, lo)):
-        total += match(x[lo], y[lo], pairs)
+    lo, n = 0, min(len(x), len(y))
+    while lo < n and x[lo].shape == y[lo].shape:
         lo += 1
-    x, y = x[lo:], y[lo:]
-    while x and y and x[-1].kind == y[-1].kind and (x[-1].size == 1 and y[-1].size == 1):
-        pairs.append((x.pop(), y.pop()))
-        total += 1
+    hi = 0
+    while hi < n - lo and x[-1 - hi].shape == y[-1 - hi].shape:
+        hi += 1
+    ends = list(zip(x[len(x) - hi :], y[len(y) - hi :], strict=True))
+    return list(zip(x[:lo], y[:lo], strict=True)) + _aligned(x[lo : len(x) - hi], y[lo : len(y) - hi], known) + ends
+
+
+def _aligned(x: list[Node], y: list[Node], known: dict) -> list[tuple[Node, Node]]:
+    """The pairs of a best alignment of two lists, in linear space: halves of x meet where their totals are greatest."""
     if not x or not y:
-        return total
-    if len(x) * len(y) > CELLS:
-        for p, q in zip(x, y):  # noqa: B905  long lists of records: in order
-            total += match(p, q, pairs)
-        return total
-    inner = [[None] * len(y) for _ in x]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, p in enumerate(x):
-        row, up = best[i + 1], best[i]
-        for j, q in enumerate(y):
-            w = 0
-            if p.kind == q.kind:
-                if p.size == 1 or q.size == 1:
-                    w, inner[i][j] = 1, [(p, q)]
-                else:
-                    got: list[tuple[Node, Node]] = []
-                    w, inner[i][j] = match(p, q, got), got
-            row[j + 1] = max(row[j], up[j + 1], up[j] + w)
-    i, j = len(x), len(y)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            pairs.extend(inner[i - 1][j - 1])
-            i, j = i - 1, j - 1
-    return total + best[-1][-1]
-
-
-def _only(x: list[Node], y: list[Node], k: int) -> bool:
-    """Whether the k-th children are the only ones of their kind on both sides: then they match each other in a best alignment."""
-    kind = x[k].kind
-    return sum(n.kind == kind for n in x) == 1 == sum(n.kind == kind for n in y)
+        return []
+    if len(x) == 1:
+        w = [_matched(x[0], q, known) for q in y]
+        j = max(range(len(y)), key=w.__getitem__)
+        return [(x[0], y[j])] if w[j] else []
+    half = len(x) // 2
+    cut = int((_totals(x[:half], y, known) + _totals(x[half:][::-1], y[::-1], known)[::-1]).argmax())
+    return _aligned(x[:half], y[:cut], known) + _aligned(x[half:], y[cut:], known)
+
+
+def _totals(x: list[Node], y: list[Node], known: dict) -> np.ndarray:
+    """The nodes that x matches in each prefix of y."""
+    shapes: dict[int, int] = {}
+    where = np.array([shapes.setdefault(q.shape, len(shapes)) for q in y])
+    firsts = list({q.shape: q for q in y}.values())
+    rows: dict[int, np.ndarray] = {}
+    best = np.zeros(len(y) + 1, np.int64)
+    for p in x:
+        if p.shape not in rows:
+            rows[p.shape] = np.array([_matched(p, q, known) for q in firsts])
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + rows[p.shape][where]))
+    return best
 
 
 def _own(node: Node) -> str:
@@ -193,31 +208,55 @@ def _own(node: Node) -> str:
 
 
 class Wrapper:
-    """The template of a block of pages: wrapper node -> its texts on the distinct pages."""
+    """The template of a block of pages: the nodes of all its pages, and how often each has which text of its own."""
 
-    def __init__(self, tree: Node):
-        self.tree, self.pages, self.texts = tree, 0, {}
+    def __init__(self):
+        self.tree, self.pages, self.texts, self.known = Node("#root"), 0, {}, {}
+        _sizes(self.tree)
 
     def align(self, page: Node) -> dict[int, Node]:
-        """Page node id -> wrapper node."""
+        """Page node id -> wrapper node; nodes that no wrapper node matches become wrapper nodes."""
         pairs: list[tuple[Node, Node]] = []
-        match(self.tree, page, pairs)
-        return {id(b): a for a, b in pairs}
+        match(self.tree, page, pairs, self.known)
+        matched = {id(b): a for a, b in pairs}
+        grown = False
+        for a, b in pairs:
+            at = 0
+            for c in b.nodes():
+                own = matched.get(id(c))
+                if own is None:
+                    a.children.insert(at, _skeleton(c, matched))
+                    at, grown = at + 1, True
+                else:
+                    at = a.children.index(own, at) + 1
+        if grown:
+            _sizes(self.tree)
+        return matched
 
     def learn(self, page: Node, matched: dict[int, Node]) -> None:
         self.pages += 1
         for node in _walk(page):
-            w = matched.get(id(node))
-            if w is not None:
-                seen = self.texts.setdefault(id(w), [0, _own(node), True])
-                seen[0] += 1
-                seen[2] = seen[2] and seen[1] == _own(node)
+            self.texts.setdefault(id(matched[id(node)]), Counter())[_own(node)] += 1
 
     def constant(self, node: Node, matched: dict[int, Node], least: int) -> bool:
-        """Whether a page node's text is the same on all pages of the block, of which there are so many at least."""
-        w = matched.get(id(node))
-        seen = self.texts.get(id(w)) if w is not None else None
-        return bool(seen and seen[2] and seen[0] == self.pages >= least)
+        """Whether a page node's text is that of nearly all pages that have the node: so many at least, or TEMPLATE_PAGES if some lack it."""
+        seen = self.texts.get(id(matched.get(id(node))))
+        if not seen:
+            return False
+        n = seen.total()
+        return seen[_own(node)] >= max(least if n == self.pages else TEMPLATE_PAGES, TEMPLATE_SHARE * n)
+
+    def template(self, node: Node, matched: dict[int, Node], least: int) -> bool:
+        """Whether all text of a subtree is constant."""
+        return all(self.constant(n, matched, least) for n in _walk(node) if not n.noise and _own(n))
+
+
+def _skeleton(node: Node, matched: dict[int, Node]) -> Node:
+    """A copy of a subtree without its texts; each node is matched with its copy."""
+    copy = matched[id(node)] = Node(node.tag)
+    copy.kind, copy.noise = node.kind, node.noise
+    copy.children = [_skeleton(c, matched) for c in node.nodes()]
+    return copy
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -298,7 +337,7 @@ def text_of(page: Node, wrapper: Wrapper | None, matched: dict) -> str:
                 line.append(" ") if c.tag not in BLOCK else end()
             elif c.tag in BLOCK:
                 end()
-                if wrapper is None or c.size > 1 or not wrapper.constant(c, matched, TEMPLATE_PAGES):
+                if wrapper is None or not wrapper.template(c, matched, TEMPLATE_PAGES):
                     visit(c)
                 end()
             elif c.tag in VOID:
@@ -334,7 +373,7 @@ def extract(pages: list[str]) -> list[str]:
             _sizes(tree)
     if not trees:
         return [""] * len(pages)
-    wrapper = Wrapper(next(iter(trees.values())))
+    wrapper = Wrapper()
     matches = {}
     for page, tree in trees.items():
         matches[page] = wrapper.align(tree)
@@ -354,24 +393,31 @@ def main_text(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     salted = rows.join(F.broadcast(big) if big.count() <= LISTED_HOSTS else big, "host", "left").select("page_id", "url", "html", "host", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("blocks")), F.lit(0)).alias("block"))
 
     def run(batches):
-        key, held, size = None, [], 0
+        key, held, known, size = None, [], {}, 0
 
         def done():
-            texts = extract([h or "" for _, _, h in held])
+            every = dict(zip(known, extract(list(known)), strict=True))
+            for i in range(0, len(held), HELD_PAGES):
+                yield made(held[i : i + HELD_PAGES], every)
+
+        def made(held, every):
+            texts = [every[h] for _, _, h in held]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 for page, url, page_html, h, b in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if held and ((h, b) != key or len(held) >= HELD_PAGES or size > HELD_CHARS):
-                        yield done()
-                        held, size = [], 0
+                    page_html = page_html or ""
+                    if held and ((h, b) != key or page_html not in known and (len(known) >= HELD_PAGES or size > HELD_CHARS)):
+                        yield from done()
+                        held, known, size = [], {}, 0
                     key = (h, b)
-                    held.append((page, url, page_html))
-                    size += len(page_html or "")
+                    if page_html not in known:
+                        size += len(page_html)
+                    held.append((page, url, known.setdefault(page_html, page_html)))
         if held:
-            yield done()
+            yield from done()
 
     placed = salted.repartition("host", "block").sortWithinPartitions("host", "block", "page_id")
     return placed.mapInArrow(run, "page_id long, url string, text string, n_chars long")

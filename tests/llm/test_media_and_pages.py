@@ -84,6 +84,36 @@ def test_no_part_of_a_split_text_is_lost():
     assert got == "one 1\n\nshort 1\n\n1 " + ("long text " * 9).strip() + "\n\ninner 1"
 
 
+def test_template_is_found_beside_other_pages():
+    part = "<article>{1}<p>own {0}</p><div class=box><p>Read <b>our</b> terms</p><p>All rights reserved</p></div></article>"
+    pages = [PAGE.format(k, part.format(k, "<div class=late>Same line on most</div>" if k else "")) for k in range(12)]
+    pages.insert(3, "<html><body><h1>Error 500</h1></body></html>")  # another layout, and a first page that lacks a node
+    got = wrapper.extract(pages)
+    assert got[5] == "own 4" and got[0] == "own 0" and got[3] == "Error 500"
+    twins = [PAGE.format(k, f"<article><p>own {k}</p>{'<h2>the same on two</h2>' if k in (4, 7) else ''}</article>") for k in range(12)]
+    assert wrapper.extract(twins)[4] == "own 4\n\nthe same on two"
+
+
+def test_long_lists_are_aligned_exactly():
+    kinds = ["<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<pre>{}</pre>"]
+    rows = [kinds[i * i % 7 % 4] for i in range(90)]
+    def tree(rows):
+        root = wrapper.parse("".join(rows))
+        wrapper._sizes(root)
+        return root
+    a, b = tree(rows), tree(["<table><tr><td>x</td></tr></table>", *rows[:50], "<dl><dt>new</dt></dl>", *rows[50:], "<dl></dl>"])
+    assert wrapper.match(a, b, []) == a.size
+    c = tree(["<h6>a</h6>", *rows[:50], "<h5>b</h5>", *rows[50:], "<h4>c</h4>"])
+    assert wrapper.match(c, b, []) == a.size
+
+
+def test_equal_pages_count_once_toward_the_bounds(spark):
+    body = "<article><p>own {0}</p><div>the same on all</div></article>"
+    rows = [(1, "http://a/x", PAGE.format(0, body.format(0)))] * 150 + [(k, f"http://a/{k}", PAGE.format(k, body.format(k))) for k in range(2, 14)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in wrapper.main_text(df, block_pages=1000).collect()} == {f"own {k}" for k in (0, *range(2, 14))}
+
+
 def test_simple_tree_matching_is_the_largest_mapping():
     def tree(spec):
         node = wrapper.Node(spec[0])
