@@ -57,7 +57,7 @@ def _points(method: str):
 
 def _normalised(s, d):
     p = _Planted(s, d)
-    c = _candidates(s, d).where("rank = 1")
+    c = _candidates(s, d)
     pairs = retrieval.candidate_pairs(p.query, p.index, c)
     return retrieval.normalized_scores(pairs, p.index, p.query).groupBy("shot_id", "source_id", "q_idx").agg(F.max("sim").alias("best"))
 

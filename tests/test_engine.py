@@ -220,6 +220,30 @@ def test_frame_descriptors(spark):
         features.encode(spark.createDataFrame([], "media_id int, frame_idx int, height int, width int, pixels binary"), "x")
 
 
+def test_the_background_is_drawn_from_all_frames(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    frames = [(s, i, float(i), rng.normal(size=4).tolist()) for s in range(4) for i in range(100)]
+    index = spark.createDataFrame(frames, "source_id int, local_index int, ts double, descriptor array<double>")
+    query = spark.createDataFrame([(1, 0, 0.0, [1.0, 0.0, 0.0, 0.0])], "shot_id int, q_idx int, q_ts double, descriptor array<double>")
+    pairs = spark.createDataFrame([(1, 0, s, i, 0.0) for s in (0, 2) for i in (0, 1)], "shot_id int, q_idx int, source_id int, s_idx int, sim double")
+    chosen = {}
+    for r in retrieval.background(index, pairs.select(F.col("source_id").alias("cand")).distinct(), 60).collect():
+        chosen.setdefault(r.cand, []).append((r.other, r.local_index, r._d[0]))
+    hashed = {(r.source_id, r.local_index): r.h for r in index.select("source_id", "local_index", F.xxhash64(F.col("source_id").cast("long"), F.col("local_index").cast("long")).alias("h")).collect()}
+    for cand, got in chosen.items():
+        want = sorted((p for p in hashed if p[0] != cand), key=lambda p: (hashed[p], p))[:60]
+        assert sorted((o, i) for o, i, _ in got) == sorted(want) and max(i for _, i, _ in got) >= 50
+    out = {r.source_id: r.sim for r in retrieval.normalized_scores(pairs, index, query, pool=60).collect()}
+    assert set(out) == {0, 2} and all(out[c] == pytest.approx(-0.5 * np.mean(sorted((x for *_, x in chosen[c]), reverse=True)[:10])) for c in out)
+
+
+def test_every_candidate_gets_a_normalised_score(spark):
+    got = {(r.shot_id, r.source_id) for r in catalogue.queries()["score_normalise"](spark, SF).collect()}
+    assert got == {(r.shot_id, r.source_id) for r in catalogue.queries()["rank_candidates"](spark, SF).collect()}
+
+
 def test_every_byte_of_a_document_is_in_a_frame(spark, tmp_path):
     texts = [None, "", "short", "x" * 192, "y" * 193, "\u00e9\u65e5" * 500]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
