@@ -1,4 +1,4 @@
-"""The trace: candidates of each shot, aligned coarse to fine, graded, merged.
+"""The trace: candidates of each shot, aligned at one level and graded. The ladder, refinement and merging are functions of their own that it does not call yet.
 
 Levels are the only loop on the driver (three at most); each level works on all shots that are not yet resolved at once.
 """
