@@ -6,8 +6,8 @@ order, each to all its places at once; a merge changes the pairs to its left and
 to their lists. A place whose pair has changed since is skipped. As a merge can only make pairs of later ranks, each
 pre-token sees the merges in the order in which encoding it alone would make them.
 
-A pre-token's ids do not depend on its text, so each distinct chunk (white space and what follows it) is encoded once
-and texts are put together from chunks. Added tokens of the vocabulary split a text first, as the library does it.
+A pre-token's ids do not depend on its text, so each distinct chunk (white space and what follows it) is encoded and
+decoded once and texts are put together from chunks. Added tokens of the vocabulary split a text first, as the library does it.
 Null and empty texts have no ids. Equal rows give equal results; an empty table gives an empty result.
 """
 
@@ -16,40 +16,35 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from array import array
-from collections.abc import Iterator
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .chunks import CHUNK, vocabulary
-from .common import blocks, gather, texts_of
+from .chunks import ChunkTable, binary_of, byte_letters, chunks_of, laid_out, vocabulary
+from .common import blocks, gather
 
 #: The pattern of byte-level pre-tokens (a fixed value).
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Distinct chunks that a worker remembers; beyond it the memory is emptied, which costs time only.
-REMEMBERED = 150_000
+#: Chunks that are one pre-token.
+PLAIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Distinct chunks and their bytes (ids, decimals and decoded) that a worker remembers; beyond it those of the last block stay.
+REMEMBERED, REMEMBERED_BYTES = 1_500_000, 128 << 20
 #: Text bytes whose new chunks are encoded together: ranks are gone through once for so much text.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 NO = np.int64(-1)
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letter that stands for each byte in a byte-level vocabulary: printable Latin-1 stands for itself."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Vocabulary:
     """A byte-level BPE vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        ids, letters = spec["model"]["vocab"], byte_letters()
+        ids, letters = spec["model"]["vocab"], {c: b for b, c in byte_letters().items()}
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.size = max([*ids.values(), *self.added.values()]) + 1
         self.bytes = [b""] * self.size
@@ -158,85 +153,76 @@ def merge_all(vocab: Vocabulary, symbols: np.ndarray, words: np.ndarray) -> tupl
 
 
 class IndexEncoder:
-    """Texts to chunk numbers, each distinct chunk with its ids, its ids as decimal text and its decoded bytes."""
-
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.vocab, self.remembered = Vocabulary(path), remembered
-        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocab.added, key=len, reverse=True))) + ")") if self.vocab.added else None
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts = array("I"), array("q")
-        self.decimal: list[str] = []
-        self.decoded: list[bytes] = []
-        self.counts = array("q")
-
-    def chunks(self, text: str) -> list[str]:
-        """The chunks of a text; an added token is a chunk of its own."""
-        if self.split is None or not any(x in text for x in self.vocab.added):
-            return CHUNK.findall(text)
-        out = []
-        for part in self.split.split(text):
-            out += [part] if part in self.vocab.added else CHUNK.findall(part)
-        return out
+    """Texts to ids, their decimal text and their decoded bytes, by a table of distinct chunks."""
+
+    def __init__(self, path: str, remembered: int = REMEMBERED, remembered_bytes: int = REMEMBERED_BYTES):
+        self.vocab = Vocabulary(path)
+        added = sorted(self.vocab.added, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        self.decimals = pa.array([b"%d," % i for i in range(self.vocab.size)], pa.binary())
+        self.table = ChunkTable(self._learn, 3, remembered, remembered_bytes)
+
+    def _columns(self, symbols: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+        """For chunks of counts ids each: the ids, their decimals, each with a comma after it, and the bytes they decode to."""
+        ends = np.append(0, np.cumsum(counts))
+        decimal, at = laid_out(self.decimals, pa.array(symbols), np.uint8)
+        sizes = self.vocab.lengths[symbols]
+        decoded = gather(self.vocab.flat, self.vocab.starts[symbols], sizes)
+        total = np.append(0, np.cumsum(sizes))
+        return [binary_of(symbols.astype(np.uint32), counts), binary_of(decimal, np.diff(at[ends])), binary_of(decoded, np.diff(total[ends]))]
 
-    def _learn(self, new: list[str]) -> None:
-        plain = [c for c in new if c not in self.vocab.added]
+    def _learn(self, new: pa.Array) -> list[pa.Array]:
         pieces, of = [], []
-        for k, chunk in enumerate(plain):
+        for k, chunk in enumerate(new.cast(pa.string()).to_pylist()):
+            if PLAIN.fullmatch(chunk):
+                pieces.append(chunk.encode())
+                of.append(k)
+                continue
             for p in PRE_TOKEN.findall(chunk):
-                pieces.append(p.encode("utf-8", "replace"))
+                pieces.append(p.encode())
                 of.append(k)
         symbols = self.vocab.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
-        word = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
-        symbols, word = merge_all(self.vocab, symbols, word)
-        chunk_of = np.array(of, np.int64)[word] if len(word) else word
-        counts = np.bincount(chunk_of, minlength=len(plain)) if len(plain) else np.zeros(0, np.int64)
-        ends = np.cumsum(counts)
-        # decoding: the bytes of each id, in order
-        sizes = self.vocab.lengths[symbols]
-        total = np.cumsum(sizes)
-        flat = self.vocab.flat[np.repeat(self.vocab.starts[symbols] - (total - sizes), sizes) + np.arange(int(total[-1]) if len(total) else 0)].tobytes()
-        byte_ends = np.append(0, total)[ends]
-        a = c = 0
-        texts = list(map(str, symbols.tolist()))
-        for chunk, b, d in zip(plain, ends.tolist(), byte_ends.tolist(), strict=True):
-            self._put(chunk, symbols[a:b], ",".join(texts[a:b]), flat[c:d])
-            a, c = b, d
-        for chunk in new:
-            if chunk in self.vocab.added:
-                i = self.vocab.added[chunk]
-                self._put(chunk, np.array([i]), str(i), self.vocab.bytes[i])
-
-    def _put(self, chunk: str, ids: np.ndarray, decimal: str, decoded: bytes) -> None:
-        self.known[chunk] = len(self.counts)
-        self.starts.append(len(self.flat))
-        self.flat.frombytes(ids.astype(np.uint32).tobytes())
-        self.decimal.append(decimal)
-        self.decoded.append(decoded)
-        self.counts.append(len(ids))
-
-    def numbers(self, texts: list[str]) -> Iterator[list[int]]:
-        """The chunk numbers of each text; what is new in all of them is learnt at once."""
-        if len(self.known) > self.remembered:
-            self._forget()
-        new: set[str] = set()
-        for text in texts:  # chunks are cut twice, so that only distinct ones are held
-            new.update(self.chunks(text))
-        new.difference_update(self.known)
-        if new:
-            self._learn(list(new))
-        for text in texts:
-            yield list(map(self.known.__getitem__, self.chunks(text)))
+        symbols, word = merge_all(self.vocab, symbols, np.repeat(np.arange(len(pieces)), [len(p) for p in pieces]))
+        return self._columns(symbols, np.bincount(np.array(of, np.int64)[word], minlength=len(new)))
+
+    def columns(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids, decimals with commas and decoded bytes of all texts in one array each, and where each text's begin (and the end)."""
+        texts = pc.fill_null(texts, "")
+        parts, of = texts, np.arange(len(texts))
+        added: dict[int, str] = {}
+        if self.split is not None:
+            holds = np.any([pc.match_substring(texts, x).to_numpy(zero_copy_only=False) for x in self.vocab.added], axis=0)
+            if holds.any():  # an added token is a part of its own
+                cut, of = [], []
+                for i, (text, held) in enumerate(zip(texts.to_pylist(), holds.tolist(), strict=True)):
+                    for k, part in enumerate(self.split.split(text) if held else [text]):
+                        if k % 2:
+                            added[len(cut)] = part
+                        cut.append("" if k % 2 else part)
+                        of.append(i)
+                parts, of = pa.array(cut, pa.string()), np.array(of)
+        chunks, first = chunks_of(parts)
+        numbers, values = self.table.look_up(chunks)
+        own = self._columns(np.array([self.vocab.added[x] for x in added.values()], np.int64), np.ones(len(added), np.int64)) if added else []
+        begin = np.searchsorted(of, np.arange(len(texts) + 1))
+        out = []
+        for k, (column, kind) in enumerate(zip(values, (np.uint32, np.uint8, np.uint8), strict=True)):
+            flat, bounds = laid_out(column, numbers, kind)
+            ends = bounds[first]
+            if added:
+                pieces, at, sizes = [], 0, np.diff(ends)
+                for i, value in zip(added, own[k].to_pylist(), strict=True):
+                    value = np.frombuffer(value, kind)
+                    pieces += [flat[at : ends[i]], value]
+                    at, sizes[i] = ends[i], len(value)
+                flat, ends = np.concatenate([*pieces, flat[at:]]), np.append(0, np.cumsum(sizes))
+            out.append((flat, ends[begin]))
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        out = []
-        for at in self.numbers(texts):
-            starts, counts = np.array(self.starts), np.array(self.counts)
-            out.append(gather(np.array(self.flat), starts[at], counts[at]) if at else np.zeros(0, np.uint32))
-        return out
+        flat, at = self.columns(pa.array(texts, pa.string()))[0]
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become the replacement character."""
@@ -259,11 +245,11 @@ def encode_decode(docs: DataFrame, vocab: str = "byte_bpe_50k.json") -> DataFram
     def run(batches):
         encoder = encoder_for(vocabulary(vocab))
         for block in blocks(batches, max_bytes=BLOCK_BYTES):
-            n, ids, texts = [], [], []
-            for at in encoder.numbers(texts_of(block)):
-                n.append(sum(map(encoder.counts.__getitem__, at)))
-                ids.append(hashlib.sha256(",".join(map(encoder.decimal.__getitem__, at)).encode()).hexdigest())
-                texts.append(hashlib.sha256(b"".join(map(encoder.decoded.__getitem__, at)).decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            (_, tokens), (decimal, d), (decoded, t) = encoder.columns(block.column("text"))
+            ids, texts = [], []
+            for a, b, c, e in zip(d[:-1].tolist(), d[1:].tolist(), t[:-1].tolist(), t[1:].tolist(), strict=True):
+                ids.append(hashlib.sha256(decimal[a : max(a, b - 1)]).hexdigest())
+                texts.append(hashlib.sha256(decoded[c:e].tobytes().decode("utf-8", "replace").encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(np.diff(tokens)), pa.array(ids), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,31 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/framewake-{what}-{uuid.uuid4().hex[:12]}"
 
 
+def placed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with two long columns that tell its rows apart, whatever the number of cores, splits or executors, and their names.
+
+    They are a hash of the row's file and its place in it, which every scan of the files gives alike. The hash is told
+    to be free of collisions by a count over the file names alone. docs that no Parquet files are read from, or that
+    was joined or aggregated since, is written to the shared folder first.
+    """
+    try:
+        files = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index"))
+        whole = "Join" not in (plan := docs._jdf.queryExecution().analyzed().toString()) and "Aggregate" not in plan and "Union" not in plan
+    except AnalysisException:
+        whole = False
+    if not whole:
+        docs = stored(docs, "placed")
+        files = docs.select(F.col("_metadata.file_path").alias("path"))
+    seed = 0
+    while True:
+        n, m = files.select("path").agg(F.count_distinct("path"), F.count_distinct(F.xxhash64("path", F.lit(seed)))).first()
+        if n == m:
+            break
+        seed += 1
+    names = fresh(docs, "file", "place")
+    return docs.select("*", F.xxhash64(F.col("_metadata.file_path"), F.lit(seed)).alias(names[0]), F.col("_metadata.row_index").alias(names[1])), names
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here and survives lost executors."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fresh, stored, text_digest, texts_of
+from .common import blocks, fresh, placed, stored, text_digest, texts_of
 
 #: Bits of a page of a filter, the unit of merging.
 PAGE = 1 << 16
@@ -130,10 +130,10 @@ def _long(key: bytes, min_chars: int) -> bool:
     return len(key) > 0 if min_chars == 1 else len(key.decode("utf-8", "replace")) >= min_chars
 
 
-def frequent_lines(docs: DataFrame, suspects: Bloom, min_docs: int = 10, min_chars: int = 1, place: str | None = None) -> DataFrame:
+def frequent_lines(docs: DataFrame, suspects: Bloom, min_docs: int = 10, min_chars: int = 1, place: list[str] | None = None) -> DataFrame:
     """key, n_docs of the keys in at least min_docs documents, counted exactly among the suspects.
 
-    With the name of a column that numbers the rows, also stays: the number of the row that holds the key first.
+    With the names of two columns that tell the rows apart, also file and place: those of the row that holds the key first.
     """
     shared = docs.sparkSession.sparkContext.broadcast((suspects.bits, suspects.data.tobytes()))
 
@@ -149,7 +149,7 @@ def frequent_lines(docs: DataFrame, suspects: Bloom, min_docs: int = 10, min_cha
                 size += sum(map(len, new))
                 held.update(new)
                 if place is not None:
-                    at = [(i is None, i or 0, p) for i, p in zip(block.column("doc_id").to_pylist(), block.column(place).to_pylist(), strict=True)]
+                    at = [(i is None, i or 0, f, p) for i, f, p in zip(*(block.column(c).to_pylist() for c in ("doc_id", *place)), strict=True)]
                     rows = np.repeat(np.arange(len(each)), [len(ks) for ks in each])[hits].tolist()
                     for k, row in zip(new, rows, strict=True):
                         if k not in first or at[row] < first[k]:
@@ -163,15 +163,15 @@ def frequent_lines(docs: DataFrame, suspects: Bloom, min_docs: int = 10, min_cha
     if place is None:
         found = docs.select("text").mapInArrow(count, "key binary, n long")
         return found.groupBy("key").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place, "text").mapInArrow(count, "key binary, n long, no_id boolean, id long, place long")
-    each = found.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min(F.struct("no_id", "id", "place")).alias("first"))
-    return each.where(F.col("n_docs") >= min_docs).select("key", "n_docs", F.col("first.place").alias("stays"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *place, "text").mapInArrow(count, "key binary, n long, no_id boolean, id long, file long, place long")
+    each = found.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min(F.struct("no_id", "id", "file", "place")).alias("first"))
+    return each.where(F.col("n_docs") >= min_docs).select("key", "n_docs", "first.file", "first.place")
 
 
 def _counted(held: Counter, first: dict) -> pa.RecordBatch:
     arrays = {"key": pa.array(held.keys(), pa.binary()), "n": pa.array(held.values(), pa.int64())}
     if first:
-        for name, kind, column in zip(("no_id", "id", "place"), (pa.bool_(), pa.int64(), pa.int64()), zip(*(first[k] for k in held), strict=True), strict=True):
+        for name, kind, column in zip(("no_id", "id", "file", "place"), (pa.bool_(), pa.int64(), pa.int64(), pa.int64()), zip(*(first[k] for k in held), strict=True), strict=True):
             arrays[name] = pa.array(column, kind)
     return pa.RecordBatch.from_pydict(arrays)
 
@@ -193,25 +193,23 @@ def _drop(text: str, frequent, own=()) -> tuple[str, int, int]:
 def _applied(docs: DataFrame, min_docs: int, min_chars: int, columns: list[str], schema: str, make, broadcast_bytes: int, first: bool = False) -> DataFrame:
     """make(block, [(kept text, n_lines, n_dropped), ...]) over docs[columns], which include text."""
     spark = docs.sparkSession
-    place = fresh(docs, "place")[0] if first else None
-    if first:
-        docs = docs.withColumn(place, F.monotonically_increasing_id())
+    docs, place = placed(docs) if first else (docs, None)
     suspects = twice_seen(docs, filter_bits(docs.count()), min_chars)
     frequent = stored(frequent_lines(docs, suspects, min_docs, min_chars, place), "lines")
     size = frequent.agg(F.coalesce(F.sum(F.length("key") + (192 if first else 64)), F.lit(0))).first()[0]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], *([place] if first else []))
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], *(place or []))
     if size <= broadcast_bytes:
         known, owned = set(), {}
         for r in frequent.toLocalIterator():
             known.add(key := bytes(r["key"]))
             if first:
-                owned.setdefault(r["stays"], []).append(key)
+                owned.setdefault((r["file"], r["place"]), []).append(key)
         shared = spark.sparkContext.broadcast((known, owned))
 
         def run(batches):
             known, owned = shared.value
             for block in blocks(batches):
-                own = [owned.get(p, ()) for p in block.column(place).to_pylist()] if first else [()] * block.num_rows
+                own = [owned.get(p, ()) for p in zip(*(block.column(c).to_pylist() for c in place), strict=True)] if first else [()] * block.num_rows
                 yield make(block.select(columns), [_drop(t, known, o) for t, o in zip(texts_of(block), own, strict=True)])
 
         return rows.mapInArrow(run, schema)
@@ -233,7 +231,7 @@ def _applied(docs: DataFrame, min_docs: int, min_chars: int, columns: list[str],
     digest, keys, own = fresh(rows, "digest", "keys", "own")
     told = rows.withColumn(digest, text_digest()).join(per_text.withColumnsRenamed({"digest": digest, "keys": keys}), digest, "left").drop(digest)
     if first:
-        told = told.join(frequent.groupBy(F.col("stays").alias(place)).agg(F.collect_list("key").alias(own)), place, "left")
+        told = told.join(frequent.groupBy(F.col("file").alias(place[0]), F.col("place").alias(place[1])).agg(F.collect_list("key").alias(own)), place, "left")
 
     def run_told(batches):
         for block in blocks(batches):
@@ -259,8 +257,7 @@ def line_digests(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadc
 def dedupe_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_bytes: int = BROADCAST_BYTES, first: bool = False) -> DataFrame:
     """docs without the frequent lines: text holds what stays (n_chars, if there, its length), all else is handed through.
 
-    With first, the first occurrence of each frequent line stays. Rows are told apart by their place in the scan then, so
-    docs must be a stored table (or a narrow projection of one).
+    With first, the first occurrence of each frequent line stays. Rows are told apart by their file and place in it then.
     """
     columns = docs.columns
 

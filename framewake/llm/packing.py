@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .chunks import encoder_for, vocabulary
-from .common import blocks, texts_of
+from .chunks import BLOCK_BYTES, encoder_for, vocabulary, with_end
+from .common import blocks
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 #: Tokens of waiting pieces at which a task packs its pool.
@@ -33,22 +33,27 @@ SEQUENCES = 1 << 36
 
 
 class VectorPacker:
-    """Pieces in, filled sequences out. A piece is (tag, start, tokens, loss, ids); cut(piece, n) gives its two parts."""
+    """Pieces in, filled sequences out. A piece is (tag, start, tokens, loss, ids).
+
+    cut(piece, tokens, loss) gives the largest head of a piece that fits in so many tokens and loss tokens, and the
+    rest; or None if none does.
+    """
 
     def __init__(self, tokens: int, segments: int, loss: int, cut: Callable | None = None):
         self.limits = np.array([tokens, segments, loss], float)
-        self.tokens, self.cut, self.waiting = tokens, cut, 0
+        self.tokens, self.segments, self.loss, self.cut, self.waiting = tokens, segments, loss, cut, 0
         self.slot: dict[tuple[int, int], int] = {}
         self.pieces: list[deque] = []
-        self.demand, self.count, self.sizes = np.zeros((0, 3)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.demand, self.count, self.sizes = np.zeros((0, 3)), np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
 
     def add(self, piece: tuple) -> None:
         key = piece[2], piece[3]
         k = self.slot.setdefault(key, len(self.pieces))
         if k == len(self.pieces):
             self.pieces.append(deque())
-            self.demand = np.vstack([self.demand, np.array([key[0], 1, key[1]]) / self.limits])
-            self.count, self.sizes = np.append(self.count, 0), np.append(self.sizes, key[0])
+            self.sizes = np.vstack([self.sizes, [[key[0], 1, key[1]]]])
+            self.demand = self.sizes / self.limits
+            self.count = np.append(self.count, 0)
         self.pieces[k].append(piece)
         self.count[k] += 1
         self.waiting += piece[2]
@@ -61,37 +66,37 @@ class VectorPacker:
 
     def pack(self, last: bool = False) -> Iterator[list[tuple]]:
         """Sequences while the waiting pieces can fill one; with last, until none waits."""
-        while self.waiting >= (1 if last else self.tokens):
+        while self.waiting >= self.tokens or (last and self.count.any()):
+            classes = len(self.count)
             weighted = self.demand * (self.demand * self.count[:, None]).sum(0)
-            left, chosen = np.ones(3), []
-            while left[0] > 1e-9 and left[1] > 1e-9:
-                there = self.count > 0
-                fits = there & (self.demand <= left + 1e-9).all(1)
+            left, chosen = np.array([self.tokens, self.segments, self.loss]), []
+            while left[0] and left[1]:
+                fits = (self.count[:classes] > 0) & (self.sizes[:classes] <= left).all(1)
                 if fits.any():
-                    chosen.append(self._take(int(np.argmax(np.where(fits, weighted @ left, -1.0)))))
-                    left = left - np.array([chosen[-1][2], 1, chosen[-1][3]]) / self.limits
-                    continue
-                if self.cut is None or not there.any():
-                    break
-                piece = self._take(int(np.argmax(np.where(there, self.sizes, -1))))
-                head, rest = self.cut(piece, round(left[0] * self.limits[0])) if piece[2] > round(left[0] * self.limits[0]) else (None, piece)
-                if head and head[3] / self.limits[2] <= left[2] + 1e-9:
-                    chosen.append(head)
-                    left = left - np.array([head[2], 1, head[3]]) / self.limits
-                    weighted = np.vstack([weighted, np.zeros((1, 3))]) if (rest[2], rest[3]) not in self.slot else weighted
+                    piece = self._take(int(np.argmax(np.where(fits, weighted @ (left / self.limits), -1.0))))
+                else:
+                    there = self.count > 0
+                    if self.cut is None or not there.any():
+                        break
+                    piece = self._take(int(np.argmax(np.where(there, self.sizes[:, 0], -1))))
+                    parts = self.cut(piece, int(left[0]), int(left[2]))
+                    if parts is None:
+                        self.add(piece)
+                        break
+                    piece, rest = parts
                     self.add(rest)
-                    continue
-                self.add(piece)
-                break
+                chosen.append(piece)
+                left = left - (piece[2], 1, piece[3])
             if not chosen:
                 raise ValueError("an example exceeds the limits and may not be cut")
             yield chosen
 
 
-def _cut(piece: tuple, n: int) -> tuple[tuple, tuple]:
-    """The first n ids and the rest; the first id of a piece has no context there and bears no loss."""
-    tag, start, tokens, _, ids = piece
-    return (tag, start, n, n - 1, ids[:n]), (tag, start + n, tokens - n, tokens - n - 1, ids[n:])
+def _cut(piece: tuple, tokens: int, loss: int) -> tuple[tuple, tuple] | None:
+    """The head that fits and the rest; the first id of a piece has no context there and bears no loss."""
+    tag, start, size, _, ids = piece
+    n = min(tokens, loss + 1)
+    return ((tag, start, n, n - 1, ids[:n]), (tag, start + n, size - n, size - n - 1, ids[n:])) if 0 < n < size else None
 
 
 def pack_documents(docs: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int = 0, tokens: int = 1024, segments: int = 256, loss: int = 1023) -> DataFrame:
@@ -111,7 +116,7 @@ def pack_documents(docs: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: in
             for sequence in sequences:
                 offset = 0
                 for (doc, n), start, length, bears, ids in sequence:
-                    out.append((doc, start, length, zlib.crc32(ids.astype("<u4").tobytes()), n, at, offset, bears))
+                    out.append((doc, start, length, zlib.crc32(ids), n, at, offset, bears))
                     offset += length
                 at += 1
                 if len(out) >= 20_000:
@@ -120,22 +125,19 @@ def pack_documents(docs: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: in
             if out:
                 yield _batch(out)
 
-        def full(tag, ids, end):
-            for i in range(0, end, tokens):
-                yield [(tag, i, tokens, tokens - 1, ids[i : i + tokens])]
-
-        for block in blocks(batches):
-            flat, each = encoder.encode(texts_of(block))
-            ends = np.cumsum(each)
-            whole = []
-            for doc, n, end in zip(block.column("doc_id").to_pylist(), each.tolist(), ends.tolist(), strict=True):
-                ids = np.append(flat[end - n : end], np.uint32(end_id))
-                n += 1
-                cuttable = n - n % tokens if loss >= tokens - 1 else 0
-                whole.extend(full((doc, n), ids, cuttable))
-                if n > cuttable:
-                    packer.add(((doc, n), cuttable, n - cuttable, n - cuttable - 1, ids[cuttable:].copy()))
-            yield from rows(whole)
+        def full(docs, each, begins, flat):
+            """Runs of full length, a sequence each; the rest of each document waits in the packer."""
+            for doc, n, a in zip(docs, each, begins, strict=True):
+                whole = n - n % tokens if loss >= tokens - 1 else 0
+                for i in range(0, whole, tokens):
+                    yield [((doc, n), i, tokens, tokens - 1, flat[a + i : a + i + tokens])]
+                if n > whole:
+                    packer.add(((doc, n), whole, n - whole, n - whole - 1, flat[a + whole : a + n].copy()))
+
+        for block in blocks(batches, max_bytes=BLOCK_BYTES):
+            flat, each = encoder.encode(block.column("text"))
+            flat, each = with_end(flat, each, end_id)
+            yield from rows(full(block.column("doc_id").to_pylist(), each.tolist(), (np.cumsum(each) - each).tolist(), flat))
             if packer.waiting >= POOL_TOKENS:
                 yield from rows(packer.pack())
         yield from rows(packer.pack(last=True))

@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_documents, stored, texts_of
+from .common import map_documents, placed, stored, texts_of
 from .components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Fingerprints that one task compares within a block; larger blocks are dealt as pairs of tiles.
 BLOCK = 4096
 #: Places of dropped rows (8 bytes each) that are broadcast; more of them meet the rows in a shuffled join.
-LISTED_PLACES = 4_000_000
+LISTED_PLACES = 500_000
 #: Rows of a tile inside a task.
 TILE = 512
 
@@ -181,22 +181,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, keep: tu
 def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (of repeated ids, one row; null ids last).
 
-    Rows are told apart by their place in the scan, so docs must be a stored table (or a narrow projection of one).
+    Rows are told apart by their file and their place in it, which do not depend on how the files are split.
     """
-    place = fresh(docs, "place")[0]
-    placed = docs.withColumn(place, F.monotonically_increasing_id())
-    gone = stored(places_to_drop(placed, place, shingle, radius), "dropped")
+    rows, place = placed(docs)
+    gone = stored(places_to_drop(rows, place, shingle, radius), "dropped")
     # texts stay where they are while the list of places may be broadcast, by its measured size
-    return placed.join(F.broadcast(gone) if gone.count() <= LISTED_PLACES else gone, place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(F.broadcast(gone) if gone.count() <= LISTED_PLACES else gone, place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def places_to_drop(docs: DataFrame, place: str, shingle: int, radius: int) -> DataFrame:
+def places_to_drop(docs: DataFrame, place: list[str], shingle: int, radius: int) -> DataFrame:
     """The places of the rows that are not the first of their component."""
-    rows = stored(fingerprints(docs, shingle, ("doc_id", place)), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(place)))
+    rows = stored(fingerprints(docs, shingle, ("doc_id", *place)), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *place))
     classes = stored(rows.groupBy("fp").agg(first.alias("first")), "classes")
     roots = components(links(classes.select("fp"), radius))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     stays = named.groupBy("root").agg(F.min("first").alias("first"))
-    of = named.select("fp", "root").join(stays, "root").select("fp", F.col("first")[place].alias("_stays"))
-    return rows.join(of, "fp").where(F.col(place) != F.col("_stays")).select(place)
+    of = named.select("fp", "root").join(stays, "root").select("fp", F.struct(*[F.col("first")[p] for p in place]).alias("_stays"))
+    return rows.join(of, "fp").where(F.struct(*place) != F.col("_stays")).select(*place)

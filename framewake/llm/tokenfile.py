@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import encoder_for, vocabulary
-from .common import blocks, shared_dir, texts_of
+from .chunks import BLOCK_BYTES, encoder_for, vocabulary, with_end
+from .common import blocks, shared_dir
 
 MAGIC = b"FWIDS1\0\0"
 SAMPLE = 256
@@ -165,16 +165,15 @@ def write_token_files(docs: DataFrame, path: str, vocab: str = "word_bpe_49k.jso
             held, lengths, names, size, seq = [], [], [], 0, seq + 1
             return out
 
-        for block in blocks(batches):
-            flat, each = encoder.encode(texts_of(block))
-            end = np.cumsum(each)
-            for doc, n, to in zip(block.column("doc_id").to_pylist(), each.tolist(), end.tolist(), strict=True):
-                if size and size + n + 1 > image_ids:
+        for block in blocks(batches, max_bytes=BLOCK_BYTES):
+            flat, each = with_end(*encoder.encode(block.column("text")), end_id)
+            for doc, n, to in zip(block.column("doc_id").to_pylist(), each.tolist(), np.cumsum(each).tolist(), strict=True):
+                if size and size + n > image_ids:
                     yield image()
-                held.append(np.append(flat[to - n : to], np.uint32(end_id)))
-                lengths.append(n + 1)
+                held.append(flat[to - n : to])
+                lengths.append(n)
                 names.append(doc)
-                size += n + 1
+                size += n
         if size:
             yield image()
 
@@ -195,10 +194,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for image, base in zip(batch.column("image"), batch.column("base").to_pylist(), strict=True):
                 file = TokenFile(image.as_py())
-                ends = file.ends.all().astype(np.int64)
+                ends, crc, at = [], [], 0
+                for i in range(len(file)):  # select gives each boundary; no table of offsets is decoded
+                    to = file.ends.select(i)
+                    ends.append(to)
+                    crc.append(zlib.crc32(file.ids[at:to].astype("<u4")))
+                    at = to
+                ends = np.array(ends, np.int64)
                 begins = np.append(0, ends[:-1])
-                wide = file.ids.astype("<u4")
-                crc = [zlib.crc32(wide[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids(), pa.int64()), pa.array(begins + base), pa.array(ends - begins), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # an image is read where it lies; only its number of ids was moved
