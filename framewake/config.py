@@ -8,18 +8,19 @@ from dataclasses import asdict, dataclass, field, fields, is_dataclass
 @dataclass(frozen=True)
 class ShotConfig:
     method: str = "auto"  # auto, histogram, fixed
-    fixed_window: float = 3.0
-    min_shot: float = 0.8
-    max_shot: float = 8.0
+    fixed_window: float = 2.0
+    min_shot: float = 0.6
+    max_shot: float = 12.0
     least_threshold: float = 0.12
     most_threshold: float = 0.35
     deviations: float = 6.0
+    peak_ratio: float = 2.5  # a cut scores so many times the median at least
 
 
 @dataclass(frozen=True)
 class RetrievalConfig:
     top_k: int = 5
-    top_n: int = 10
+    top_n: int = 20
     trim: float = 0.2
     hit_above: float = 0.5
     score_weight: float = 0.75
@@ -31,6 +32,8 @@ class RetrievalConfig:
 class AlignConfig:
     method: str = "tn"  # tn, dp, dtw, hv, none
     min_sim: float = 0.35
+    adaptive: bool = True
+    keep_each: float = 5.0
     top_points: int = 5
     max_step: int = 10
     least_slope: float = 0.5
@@ -66,15 +69,28 @@ class MergeConfig:
 
 
 @dataclass(frozen=True)
-class RefineConfig:
-    levels: tuple[int, ...] = (4, 2, 1)  # every k-th base frame: coarse to fine
-    stop_at: float = 0.80
+class SamplingConfig:
+    """Frames a second at each density; tables with fewer give what they have."""
+
+    coarse: float = 1.0
+    medium: float = 2.0
+    fine: float = 4.0
+    hard: float = 8.0
+    longest_rescan: float = 1200.0
     margin: float = 1.5
+
+
+@dataclass(frozen=True)
+class RefineConfig:
+    enabled: bool = True
     second_within: float = 0.12
-    max_source: float = 1200.0
+    enhance_below: float = 0.85
+    normalise: bool = False
     norm_beta: float = 0.5
     norm_k: int = 10
     background: int = 256
+    crop_views: tuple[float, ...] = (0.9, 0.8)
+    crop_candidates: int = 3
 
 
 @dataclass(frozen=True)
@@ -84,6 +100,7 @@ class TraceConfig:
     align: AlignConfig = field(default_factory=AlignConfig)
     score: ScoreConfig = field(default_factory=ScoreConfig)
     merge: MergeConfig = field(default_factory=MergeConfig)
+    sampling: SamplingConfig = field(default_factory=SamplingConfig)
     refine: RefineConfig = field(default_factory=RefineConfig)
 
     def as_dict(self) -> dict:

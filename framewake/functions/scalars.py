@@ -90,7 +90,7 @@ def clip_name(number: Column, source: Column, start: Column, end: Column) -> Col
 
 def shown(x: Column, digits: int = 4) -> Column:
     """A metric for a report: '-' where it is missing or the sentinel of an empty set."""
-    return F.when(x.isNull() | (x < 0), "-").otherwise(F.format_string(f"%.{digits}f", x))
+    return F.when(x.isNull() | (x < 0), "-").otherwise(F.format_string(f"%.{digits}f", F.bround(x, digits)))
 
 
 def params_hash(**params: Column) -> Column:

@@ -27,8 +27,9 @@ def match(truth: DataFrame, predictions: DataFrame, least_overlap: float = 0.3,
 def details(truth: DataFrame, predictions: DataFrame, iou_from: float = 0.5) -> DataFrame:
     """One row for each true segment: how it was found, and by how much times are off."""
     m = match(truth, predictions)
-    expected_unknown = F.coalesce(F.col("source").startswith(HIDDEN), F.lit(False)) | F.col("note").contains("unknown")
     none = F.col("p_id").isNull()
+    # a hidden source that nothing was predicted for is a plain miss
+    expected_unknown = (F.coalesce(F.col("source").startswith(HIDDEN), F.lit(False)) | F.col("note").contains("unknown")) & ~none
     named = ~none & F.col("p_source").isNotNull() & (F.col("p_status") != "UNKNOWN")
     right = F.coalesce(named & (F.col("p_source") == F.col("source")), F.lit(False)) & ~expected_unknown
     s = iou(F.col("source_start"), F.col("source_end"), F.col("p_source_start"), F.col("p_source_end"))
@@ -38,7 +39,7 @@ def details(truth: DataFrame, predictions: DataFrame, iou_from: float = 0.5) ->
         "id", "source", F.col("p_id").alias("pred_id"), F.col("p_source").alias("pred_source"), expected_unknown.alias("unknown_expected"),
         F.when(none, "MISS").otherwise(F.col("p_status")).alias("status"), right.alias("source_correct"), (right & (s >= iou_from)).alias("segment_correct"), F.when(right, s).alias("iou"), F.when(right, box).alias("iou_2d"),
         F.when(right, F.abs(F.col("p_source_start") - F.col("source_start"))).alias("start_error"), F.when(right, F.abs(F.col("p_source_end") - F.col("source_end"))).alias("end_error"), F.when(right, aligned).alias("aligned_error"),
-        (expected_unknown & (none | ~named)).alias("unknown_correct"),
+        (expected_unknown & ~named).alias("unknown_correct"),
     )
 
 
@@ -49,23 +50,31 @@ def false_positives(predictions: DataFrame, detail: DataFrame) -> DataFrame:
 
 
 def summary(detail: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Recalls, errors (mean and median; -1 where nothing was found), rate of false positives, accuracy on unknown sources."""
+    """Recalls, errors (mean and median; -1 where nothing was found), counts, rate of false positives, accuracy on unknown sources."""
     wrong = false_positives(predictions, detail).agg(F.count(F.lit(1)).alias("n_false"))
     named = predictions.where(F.col("source").isNotNull() & (F.col("status") != "UNKNOWN")).agg(F.count(F.lit(1)).alias("n_named"))
+    every = predictions.agg(F.count(F.lit(1)).alias("n_pred"))
     known = ~F.col("unknown_expected")
     found = lambda f, c: F.coalesce(f(c), F.lit(-1.0))
     g = detail.agg(
-        F.count(F.lit(1)).alias("n_truth"), F.coalesce(F.avg(F.when(known, F.col("source_correct").cast("double"))), F.lit(0.0)).alias("source_recall"), F.coalesce(F.avg(F.when(known, F.col("segment_correct").cast("double"))), F.lit(0.0)).alias("segment_recall"),
-        found(F.avg, "start_error").alias("start_error"), found(F.avg, "end_error").alias("end_error"), found(F.median, "start_error").alias("median_start_error"), found(F.avg, "aligned_error").alias("aligned_error"),
-        found(F.avg, "iou").alias("mean_iou"), found(F.median, "iou").alias("median_iou"), F.coalesce(F.avg(F.when(~known, F.col("unknown_correct").cast("double"))), F.lit(1.0)).alias("unknown_accuracy"),
+        F.count_if(known).alias("n_truth"), F.coalesce(F.avg(F.when(known, F.col("source_correct").cast("double"))), F.lit(0.0)).alias("source_recall"), F.coalesce(F.avg(F.when(known, F.col("segment_correct").cast("double"))), F.lit(0.0)).alias("segment_recall"),
+        found(F.avg, "start_error").alias("start_error"), found(F.avg, "end_error").alias("end_error"), found(F.median, "start_error").alias("median_start_error"), found(F.median, "end_error").alias("median_end_error"), found(F.avg, "aligned_error").alias("aligned_error"),
+        found(F.avg, "iou").alias("mean_iou"), found(F.median, "iou").alias("median_iou"), found(F.median, "iou_2d").alias("median_iou_2d"), F.coalesce(F.avg(F.when(~known, F.col("unknown_correct").cast("double"))), F.lit(1.0)).alias("unknown_accuracy"),
     )
-    return g.crossJoin(wrong).crossJoin(named).withColumn("false_positive_rate", F.coalesce(F.try_divide(F.col("n_false"), F.col("n_named")), F.lit(0.0)))  # one row each
+    return g.crossJoin(wrong).crossJoin(named).crossJoin(every).withColumn("false_positive_rate", F.coalesce(F.try_divide(F.col("n_false"), F.col("n_named")), F.lit(0.0)))  # one row each
+
+
+def runs_of(runs: DataFrame, config: str | None = None, case: str | None = None) -> DataFrame:
+    """Runs that ended well, of one configuration or case if it is named."""
+    for column, value in (("config", config), ("case", case)):
+        runs = runs if value is None else runs.where(F.col(column) == value)
+    return runs.where("ok")
 
 
 def roll_up(runs: DataFrame) -> DataFrame:
     """Means of each configuration's runs that ended well; sentinels below 0 don't count."""
     mean = lambda c: F.avg(F.when(F.col(c) >= 0, F.col(c))).alias(c)
-    return runs.where("ok").groupBy("config").agg(mean("source_recall"), mean("segment_recall"), mean("start_error"), mean("total_s"), F.max("peak_mb").alias("peak_mb"), F.count(F.lit(1)).alias("n_runs"))
+    return runs_of(runs).groupBy("config").agg(mean("source_recall"), mean("segment_recall"), mean("start_error"), mean("total_s"), F.max("peak_mb").alias("peak_mb"), F.count(F.lit(1)).alias("n_runs"))
 
 
 def best_config(rolled: DataFrame) -> DataFrame:

@@ -20,14 +20,21 @@ GRID, COLOURS, ANGLES = 4, 8, 8
 HELD_FRAMES = 1024
 
 
+def _area_weights(to: int, of: int) -> np.ndarray:
+    """How much each of `of` pixels weighs in each of `to` pixels that cover the same length."""
+    edge, pixel = np.arange(to + 1) * of / to, np.arange(of)
+    shared = np.minimum(edge[1:, None], pixel + 1) - np.maximum(edge[:-1, None], pixel)
+    return np.maximum(shared, 0) * to / of
+
+
 def centre_crop(frames: np.ndarray, ratio: float) -> np.ndarray:
-    """The middle part of each frame (at least 8 pixels), brought back to full size by nearest pixels."""
+    """The middle part of each frame (at least 8 pixels, a tenth of a side), brought back to full size by the mean of the area."""
     ratio = min(1.0, max(0.1, ratio))
     h, w = frames.shape[1:3]
     ch, cw = max(8, int(h * ratio)), max(8, int(w * ratio))
-    rows = (h - ch) // 2 + np.arange(h) * ch // h
-    cols = (w - cw) // 2 + np.arange(w) * cw // w
-    return frames[:, rows][:, :, cols]
+    top, left = (h - ch) // 2, (w - cw) // 2
+    middle = frames[:, top : top + ch, left : left + cw].astype(float)
+    return np.rint(np.einsum("yi,xj,nijc->nyxc", _area_weights(h, ch), _area_weights(w, cw), middle, optimize=True)).astype(np.uint8)
 
 
 def _cells(size: int) -> np.ndarray:
@@ -104,6 +111,26 @@ def byte_frames(rows: DataFrame, key: str, text: str, side: int) -> DataFrame:
     return each.select(key, "frame_idx", F.lit(side).alias("height"), F.lit(side).alias("width"), padded.alias("pixels"))
 
 
+def index_or_errors(encoded: DataFrame, source: str = "source_id", error: str = "error") -> tuple[DataFrame, DataFrame]:
+    """Frames of the sources that could be encoded whole, and one row (source, error) for each of the others.
+
+    A bad source stays out of the index and takes no other with it. Descriptors with numbers that are not finite are bad, too.
+    """
+    broken = F.exists("descriptor", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    marked = encoded.withColumn("_e", F.coalesce(F.col(error), F.when(F.coalesce(broken, F.lit(True)), "descriptor is not finite")))
+    errors = marked.where(F.col("_e").isNotNull()).groupBy(source).agg(F.min("_e").alias("error"))
+    return encoded.join(errors.select(source), source, "left_anti").drop(error), errors
+
+
+def cropped_views(frames: DataFrame, ratios: tuple[float, ...], encoder: str = "colorhist", keys: tuple[str, ...] = ("media_id", "frame_idx")) -> DataFrame:
+    """Descriptors of the frames' centre crops: keys, descriptor, error and crop, once for each ratio below 1."""
+    views = [encode(frames, encoder, keys, r).withColumn("crop", F.lit(r)) for r in ratios if r < 1]
+    out = views[0]
+    for v in views[1:]:
+        out = out.unionByName(v)
+    return out
+
+
 def mean_of_views(views: DataFrame, *keys: str) -> DataFrame:
     """The unit mean of several descriptors of each frame, by place."""
     places = views.select(*keys, F.posexplode("descriptor").alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("x"))

@@ -8,16 +8,39 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clip_name
 
 
-def status_summary(segments: DataFrame, query: str) -> DataFrame:
-    """Segments of each status, and the share of the query's time that has a source."""
+def status_summary(segments: DataFrame, query: str, durations: DataFrame | None = None) -> DataFrame:
+    """Segments of each status, and the share of the query's time that has a source.
+
+    durations: the queries and their duration; without it a query ends with its last segment.
+    """
     count = lambda s: F.count_if(F.col("status") == s).alias(s.lower())
     named = F.coalesce(F.sum(F.when(F.col("status") != "UNKNOWN", F.col("query_end") - F.col("query_start"))), F.lit(0.0))
-    return segments.groupBy(query).agg(F.count(F.lit(1)).alias("n"), *[count(s) for s in ("HIGH", "MEDIUM", "LOW", "UNKNOWN")], F.round(named / F.max("query_end"), 4).alias("matched_ratio"))
+    g = segments.groupBy(query).agg(F.count(F.lit(1)).alias("n"), *[count(s) for s in ("HIGH", "MEDIUM", "LOW", "UNKNOWN")], named.alias("_t"), F.max("query_end").alias("_d"))
+    if durations is not None:
+        g = g.drop("_d").join(durations.select(query, F.col("duration").alias("_d")), query, "left")
+    return g.withColumn("matched_ratio", F.round(F.col("_t") / F.greatest("_d", F.lit(1e-9)), 4)).drop("_t", "_d")
+
+
+def top_candidates(candidates: DataFrame, n: int = 5) -> DataFrame:
+    """The first n candidates of each shot as one list, with rounded scores, as the report shows them."""
+    shown = F.struct("rank", "source_id", F.round("score", 4).alias("score"))
+    return candidates.groupBy("shot_id").agg(F.slice(F.sort_array(F.collect_list(shown)), 1, n).alias("candidates"))
+
+
+def stage_times(events: DataFrame, stage: str, seconds: str) -> DataFrame:
+    """Seconds of all spans of each stage."""
+    return events.groupBy(stage).agg(F.sum(seconds).alias("seconds"), F.count(F.lit(1)).alias("n"))
+
+
+def concat_manifest(clips: DataFrame, group: str, order: str, length: str, has_audio: str) -> DataFrame:
+    """The clips of each group in order with the time each begins at; sound stays only where all clips of the group have it."""
+    every = Window.partitionBy(group)
+    return running_cursor(clips, group, order, length).join(clips.select(group, order, length, F.min(F.col(has_audio)).over(every).alias("audio")), [group, order])
 
 
 def csv_rows(segments: DataFrame, number: str = "query_id") -> DataFrame:
-    """Segments as the report prints them: fixed decimals, nothing as an empty text, the clip's name."""
-    show = lambda c, n: F.coalesce(F.format_string(f"%.{n}f", F.col(c)), F.lit("")) if n else F.coalesce(F.col(c), F.lit(""))
+    """Segments as the report prints them: fixed decimals (halves to the even one), nothing as an empty text, the clip's name."""
+    show = lambda c, n: F.coalesce(F.format_string(f"%.{n}f", F.bround(c, n)), F.lit("")) if n else F.coalesce(F.col(c), F.lit(""))
     text = lambda c, n: F.when(F.col(c).isNull(), "").otherwise(show(c, n)).alias(c)
     clip = F.when(F.col("source").isNull(), "").otherwise(clip_name(F.col(number), F.col("source"), F.col("source_start"), F.col("source_end"))).alias("clip")
     return segments.select(number, text("query_start", 3), text("query_end", 3), text("source", 0), text("source_start", 3), text("source_end", 3), text("confidence", 4), "status", text("speed", 4), clip)

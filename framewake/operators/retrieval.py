@@ -145,7 +145,7 @@ def rank_candidates(scores: DataFrame, votes: DataFrame, cfg: RetrievalConfig =
 
 def background(index: DataFrame, candidates: DataFrame, pool: int) -> DataFrame:
     """cand, other, local_index, _d: for each candidate source the first frames of the other sources by a hash of source and place."""
-    places = index.select(F.col("source_id").alias("other"), "local_index", F.xxhash64(F.col("source_id").cast("long"), F.col("local_index").cast("long")).alias("_h"), F.col("descriptor").alias("_d"))
+    places = index.select(F.col("source_id").alias("other"), "local_index", F.md5(F.concat_ws(":", "source_id", "local_index").cast("binary")).alias("_h"), F.col("descriptor").alias("_d"))
     by_hash = ["_h", "other", "local_index"]
     # a pool takes no more of one source than its first frames
     firsts = places.withColumn("_r", F.row_number().over(Window.partitionBy("other").orderBy(*by_hash))).where(F.col("_r") <= pool).drop("_r")
@@ -153,14 +153,19 @@ def background(index: DataFrame, candidates: DataFrame, pool: int) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(Window.partitionBy("cand").orderBy(*by_hash))).where(F.col("_r") <= pool).drop("_r", "_h")
 
 
-def normalized_scores(pairs: DataFrame, index: DataFrame, query: DataFrame, k: int = 10, beta: float = 0.5, pool: int = 256) -> DataFrame:
-    """Similarities less beta times the mean of each query frame's k best similarities to frames of other sources.
+def frame_bias(query: DataFrame, index: DataFrame, candidates: DataFrame, k: int = 10, pool: int = 256) -> DataFrame:
+    """shot_id, source_id, q_idx, bias: the mean of each query frame's k best similarities to frames of other sources than the candidate.
 
     The pool of a source is the first frames of all other sources by a hash of their place, the same in every run.
     """
-    sources = pairs.select("shot_id", F.col("source_id").alias("cand")).distinct()
+    sources = candidates.select("shot_id", F.col("source_id").alias("cand")).distinct()
     chosen = sources.join(background(index, sources.select("cand").distinct(), pool), "cand")
     sims = query.select("shot_id", "q_idx", "descriptor").join(chosen, "shot_id").select("shot_id", "q_idx", F.col("cand").alias("source_id"), dot(F.col("descriptor"), F.col("_d")).alias("s"))
     best = sims.withColumn("_r", F.row_number().over(Window.partitionBy("shot_id", "q_idx", "source_id").orderBy(F.desc("s")))).where(F.col("_r") <= k)
-    bias = best.groupBy("shot_id", "q_idx", "source_id").agg(F.avg("s").alias("bias"))
+    return best.groupBy("shot_id", "q_idx", "source_id").agg(F.avg("s").alias("bias"))
+
+
+def normalized_scores(pairs: DataFrame, index: DataFrame, query: DataFrame, k: int = 10, beta: float = 0.5, pool: int = 256) -> DataFrame:
+    """Similarities less beta times the bias of their query frame and source."""
+    bias = frame_bias(query, index, pairs, k, pool)
     return pairs.join(bias, ["shot_id", "q_idx", "source_id"], "left").withColumn("sim", F.col("sim") - beta * F.coalesce("bias", F.lit(0.0))).drop("bias")

@@ -32,12 +32,13 @@ def thresholds(scores: DataFrame, media: str, cfg: ShotConfig = ShotConfig()) ->
     return mad.select(media, "med", "mad", F.least(F.lit(cfg.most_threshold), F.greatest(F.lit(cfg.least_threshold), raw)).alias("threshold"))
 
 
-def peaks(scores: DataFrame, media: str, order: str, limits: DataFrame) -> DataFrame:
-    """Frames whose score is a local maximum (plateaus too) at or above the threshold."""
+def peaks(scores: DataFrame, media: str, order: str, limits: DataFrame, cfg: ShotConfig = ShotConfig()) -> DataFrame:
+    """Frames whose score is a local maximum (plateaus too), at or above the threshold and peak_ratio times the median."""
     w = Window.partitionBy(media).orderBy(order)
     none = F.lit(float("-inf"))
     around = scores.withColumn("_b", F.coalesce(F.lag("score").over(w), none)).withColumn("_a", F.coalesce(F.lead("score").over(w), none))
-    return around.join(limits.select(media, "threshold"), media).where((F.col("score") >= F.col("threshold")) & (F.col("_b") <= F.col("score")) & (F.col("_a") <= F.col("score"))).drop("_a", "_b")
+    high = (F.col("score") >= F.col("threshold")) & (F.col("score") >= cfg.peak_ratio * F.col("med"))
+    return around.join(limits.select(media, "med", "threshold"), media).where(high & (F.col("_b") <= F.col("score")) & (F.col("_a") <= F.col("score"))).drop("_a", "_b", "med")
 
 
 def spaced(times: Column, gap: float, first: Column) -> Column:
@@ -57,7 +58,7 @@ def build_shots(cuts: DataFrame, media: str, times: str, duration: str, cfg: Sho
     Stretches above max_shot are cut into equal parts, stretches of next to nothing dropped, a last shot of less than half
     min_shot joined to the one before.
     """
-    inner = F.filter(spaced(F.col(times), cfg.min_shot, F.lit(0.0)), lambda t: t < F.col(duration))
+    inner = F.filter(spaced(F.col(times), cfg.min_shot, F.lit(0.0)), lambda t: t < F.col(duration) - 1e-3)
     bounds = F.concat(F.array(F.lit(0.0)), inner, F.array(F.col(duration).cast("double")))
     pairs = F.zip_with(F.slice(bounds, F.lit(1), F.size(bounds) - 1), F.slice(bounds, F.lit(2), F.size(bounds) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
     long = F.filter(pairs, lambda s: s["end"] - s["start"] >= 1e-3)
@@ -80,3 +81,21 @@ def fixed_cuts(duration: Column, window: float) -> Column:
     """Cuts at every multiple of the window before the end."""
     n = F.ceil(duration / window - 1e-12).cast("int") - 1
     return F.when(n < 1, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: k * F.lit(window)))
+
+
+def detect_shots(frames: DataFrame, durations: DataFrame, media: str, ts: str, pixels: str, cfg: ShotConfig = ShotConfig()) -> DataFrame:
+    """Shots of each medium from its gray frames, by the method of the settings: auto and histogram by changes, fixed by windows.
+
+    Media of fewer than three frames have no cuts; those without frames are in durations (media, duration) alone.
+    """
+    if cfg.method not in ("auto", "histogram", "fixed"):
+        raise ValueError(f"unknown shot method {cfg.method!r}")
+    if cfg.method == "fixed":
+        cuts = durations.select(media, "duration", fixed_cuts(F.col("duration"), cfg.fixed_window).alias("cuts"))
+        return build_shots(cuts, media, "cuts", "duration", cfg)
+    every = Window.partitionBy(media)
+    with_hist = frames.withColumn("_g", gray_histogram(F.col(pixels))).withColumn("_n", F.count(F.lit(1)).over(every)).withColumn("_t0", F.min(ts).over(every)).where("_n >= 3")
+    changes = change_scores(with_hist, media, ts, "_g", pixels).where(F.col(ts) > F.col("_t0"))  # a change lies between two frames
+    found = peaks(changes, media, ts, thresholds(changes, media, cfg), cfg).groupBy(media).agg(F.collect_list(ts).alias("_c"), F.min("_t0").alias("_t0"))
+    cuts = durations.join(found.select(media, spaced(F.col("_c"), cfg.min_shot, F.col("_t0")).alias("cuts")), media, "left")
+    return build_shots(cuts.withColumn("cuts", F.coalesce("cuts", F.array().cast("array<double>"))), media, "cuts", "duration", cfg)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -83,21 +84,51 @@ def time_slice(frames: DataFrame, start: float, end: float, ts: str = "ts") -> D
     return frames.where(F.col(ts).between(start - 1e-9, end + 1e-9))
 
 
+def interval_frames(frames: DataFrame, start: float, end: float, fps: float, media: str = "source_id", ts: str = "ts") -> DataFrame:
+    """Frames of an interval at a rate, without the cache."""
+    return sampled(time_slice(frames, start, end, ts), fps, media, ts)
+
+
 def cached(spark: SparkSession, path: str, wanted: DataFrame, key: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Features of the wanted keys: those stored at path, and what build makes of the missing ones, which is stored too."""
+    """Features of the wanted keys: those stored at path, and what build makes of the missing ones, which is stored too.
+
+    What can't be read is a miss, and is built again. A store that can't be written to is a warning: the features are
+    returned all the same.
+    """
     try:
-        have = spark.read.parquet(path)
-    except Exception as e:  # an empty or missing cache is a miss
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        have = None
-    missing = wanted if have is None else wanted.join(have.select(key).distinct(), key, "left_anti")
-    if have is None or not missing.isEmpty():
-        build(missing).write.mode("append").parquet(path)
-        have = spark.read.parquet(path)
+        have = spark.read.option("ignoreCorruptFiles", True).parquet(path)
+        missing = wanted.join(have.select(key).distinct(), key, "left_anti")
+        complete = missing.isEmpty()
+    except Exception as e:  # no folder yet, no file in it, or none that can be read
+        if "PATH_NOT_FOUND" not in str(e):
+            warnings.warn(f"the feature cache at {path} can't be read: {e}", stacklevel=2)
+        have, missing, complete = None, wanted, False
+    if not complete:
+        built = build(missing)
+        try:
+            built.write.mode("append").parquet(path)
+            have = spark.read.option("ignoreCorruptFiles", True).parquet(path)
+        except Exception as e:
+            warnings.warn(f"the feature cache at {path} can't be written: {e}", stacklevel=2)
+            have = built if have is None else have.unionByName(built)
     return have.join(wanted.select(key).distinct(), key, "left_semi")
 
 
+def by_id(sources: DataFrame, source_id: int) -> DataFrame:
+    return sources.where(F.col("source_id") == source_id)
+
+
+def by_name(sources: DataFrame, name: str) -> DataFrame:
+    """The first source of a name; no row if there is none."""
+    return sources.where(F.col("name") == name).orderBy("source_id").limit(1)
+
+
+def pts_times(log: DataFrame, text: str) -> DataFrame:
+    """The frame times that a decoder's log tells, in order: log's columns, i and pts_time."""
+    found = F.regexp_extract_all(F.col(text), F.lit(r"pts_time:\s*(-?[0-9.]+)"), F.lit(1))
+    return log.select(*log.columns, F.posexplode(found).alias("i", "pts_time")).withColumn("pts_time", F.col("pts_time").cast("double"))
+
+
 def require_one_space(frames: DataFrame, *columns: str) -> None:
     """Frames of different descriptor spaces (model, dimension, normalisation, ...) may not be compared."""
     spaces = frames.select(*columns).distinct().limit(2).count()
@@ -108,7 +139,26 @@ def require_one_space(frames: DataFrame, *columns: str) -> None:
 GROUND_TRUTH = "struct<segments:array<struct<id:int,query_start:double,query_end:double,source:string,source_start:double,source_end:double,speed:double,note:string>>>"
 
 
+def truth_rows(raw: DataFrame, text: str) -> DataFrame:
+    """Rows of ground-truth JSON texts, after raw's other columns; missing ids count from 1, a missing speed is 1, a missing note empty."""
+    kept = [c for c in raw.columns if c != text]
+    rows = raw.select(*kept, F.from_json(text, GROUND_TRUTH).alias("d")).select(*kept, F.posexplode("d.segments").alias("i", "s"))
+    return rows.select(*kept, F.coalesce("s.id", F.col("i") + 1).alias("id"), "s.query_start", "s.query_end", "s.source", "s.source_start", "s.source_end", F.coalesce("s.speed", F.lit(1.0)).alias("speed"), F.coalesce("s.note", F.lit("")).alias("note"))
+
+
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a ground-truth file; missing ids count from 1, a missing speed is 1, a missing note empty."""
-    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", GROUND_TRUTH).alias("d")).select(F.posexplode("d.segments").alias("i", "s"))
-    return rows.select(F.coalesce("s.id", F.col("i") + 1).alias("id"), "s.query_start", "s.query_end", "s.source", "s.source_start", "s.source_end", F.coalesce("s.speed", F.lit(1.0)).alias("speed"), F.coalesce("s.note", F.lit("")).alias("note"))
+    return truth_rows(spark.read.text(path, wholetext=True), "value")
+
+
+PREDICTED = "struct<segments:array<struct<id:int,query_start:double,query_end:double,source:string,source_start:double,source_end:double,confidence:double,status:string,speed:double>>>"
+
+
+def prediction_rows(raw: DataFrame, text: str) -> DataFrame:
+    """Rows of result JSON texts; a missing id is 0, a missing confidence 0, a missing status UNKNOWN, a missing speed 1."""
+    kept = [c for c in raw.columns if c != text]
+    rows = raw.select(*kept, F.from_json(text, PREDICTED).alias("d")).select(*kept, F.explode("d.segments").alias("s"))
+    return rows.select(*kept, F.coalesce("s.id", F.lit(0)).alias("id"), "s.query_start", "s.query_end", "s.source", "s.source_start", "s.source_end", F.coalesce("s.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("s.status", F.lit("UNKNOWN")).alias("status"), F.coalesce("s.speed", F.lit(1.0)).alias("speed"))
+
+
+def predictions(spark: SparkSession, path: str) -> DataFrame:
+    return prediction_rows(spark.read.text(path, wholetext=True), "value")
