@@ -9,6 +9,13 @@ such regions vary from page to page too, so variation alone does not make conten
 outermost article elements, or else main elements, or else the page without what stands beside the way to its heaviest
 block and holds nothing but template, noise and links.
 
+Class words tell a region's role outright only where all words of the class do. Inside an article other classes that hold
+such a word (ad-hoc, share-price) are noise only if the region stands on half the pages of the block, and headings,
+paragraphs, items and cells never are; nor is a single one of these template there, however many pages have it.
+
+Elements below DEPTH are not nested further, as in browsers: their text and the ends of their blocks stay, in order. After a
+quote that never closes tags end at the next >.
+
 Null and empty html give an empty text. Pages without url form a host of their own. Repeated rows get equal results: equal pages
 count once in a block. Broken markup never raises: unclosed elements end where their parents do. An empty table gives an
 empty result. Other columns are not read.
@@ -18,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +40,8 @@ from .common import stored
 BLOCK_PAGES, HELD_PAGES, HELD_CHARS = 48, 96, 8 << 20
 #: Hosts of more than one block that are broadcast (a name and a number each).
 LISTED_HOSTS = 100_000
+#: Elements are nested so deep; deeper ones stand beside their text in the deepest.
+DEPTH = 256
 #: Distinct pages that must agree on a text inside the container before it counts as template.
 TEMPLATE_PAGES = 8
 #: Share of the pages with a node that must agree on its text before it counts as template.
@@ -56,28 +66,45 @@ ENDED_BY = {
 SCOPE = frozenset("html body table td th ul ol dl article main section aside nav header footer div form".split())
 NEVER = frozenset("head nav aside footer form script style template noscript iframe button select option textarea dialog svg canvas object menu title input search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|paywall|widget|sidebar|breadcrumbs?|pagination|pager|menu|nav|navbar|navigation|toolbar|skip|masthead|site-header|site-footer|page-header|page-footer|topbar|footer|copyright|hidden)(?:$|[\s_-])",
-    re.I,
+#: Words of a class or id that name a region which is no content, and words that may stand beside them.
+NOISE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay comment comments commentlist disqus respond replies share sharing social related recommended newsletter subscribe signup login paywall widget sidebar breadcrumb breadcrumbs pagination pager menu nav navbar navigation toolbar skip masthead topbar footer copyright hidden".split()
 )
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+PLAIN_WORDS = frozenset("site page main header box list container wrapper block unit slot area bar section inner outer button buttons icon icons link links form post posts top bottom left right large small wide sticky fixed mobile desktop primary secondary content row col group a b c the".split())
+#: Elements of text: inside an article their class says nothing of their role.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th tr pre blockquote figcaption caption b i em strong u code q cite sup sub mark br".split())
+_WORDS = re.compile(r"[\s_-]+")
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "kind", "noise", "size", "shape")
+    __slots__ = ("tag", "attrs", "children", "kind", "noise", "doubt", "size", "shape")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.children, self.size, self.shape = tag, [], 1, 0
         self.attrs = attributes(attrs) if attrs and not attrs.isspace() else {}
         self.kind = tag if not self.attrs else f"{tag}.{self.attrs.get('class', '')}"
-        self.noise = tag in NEVER or bool(self.attrs) and self._noisy()
+        named = self._named() if self.attrs and tag not in ("body", "html") else 0
+        #: noise: a region that is no content; doubt: its class alone, or a part of it, says so.
+        self.noise, self.doubt = tag in NEVER or self._hidden() or named > 0, tag not in NEVER and not self._hidden() and named
 
-    def _noisy(self) -> bool:
+    def _hidden(self) -> bool:
         a = self.attrs
-        if self.tag in ("body", "html"):
+        if not a or self.tag in ("body", "html"):
             return False
-        return bool(a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower() or NOISE.search(a.get("class", "")) or NOISE.search(a.get("id", "")))
+        return a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+
+    def _named(self) -> int:
+        """0: class and id name no such region; 1: one of their words does; 2: a class or an id says nothing else."""
+        found = 0
+        for text in (self.attrs.get("class", ""), self.attrs.get("id", "")):
+            words = [w for w in _WORDS.split(text.lower()) if w and not w.isdigit()]
+            if not NOISE_WORDS.isdisjoint(words):
+                found = max(found, 2 if all(w in NOISE_WORDS or w in PLAIN_WORDS for w in words) else 1)
+        return found
 
     def nodes(self) -> list[Node]:
         return [c for c in self.children if c.__class__ is Node]
@@ -87,53 +114,97 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
+def _tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, name, rest, end) of each tag ("<" or "</") and text ("") of a page, in linear time; send(place) goes on there."""
+    at, end, quoted = 0, len(page), True
+    while at < end:
+        if page[at] != "<":
+            to = page.find("<", at)
+            to = end if to < 0 else to
+            at = (yield "", "", page[at:to], to) or to
+            continue
+        m = _OPEN.match(page, at)
+        if m is None:
+            other = _OTHER.match(page, at)
+            if other:
+                at = other.end()
+            else:
+                at = (yield "", "", "<", at + 1) or at + 1
+            continue
+        rest = _REST.match(page, m.end()) if quoted else None
+        if rest is None:
+            # no > outside of quotes from here on: quotes bound nothing any more
+            quoted, to = False, page.find(">", m.end())
+            if to < 0:
+                at = (yield "", "", page[at:], end) or end
+                continue
+            inner, to = page[m.end() : to], to + 1
+        else:
+            inner, to = rest[1], rest.end()
+        at = (yield "</" if m[1] else "<", m[2].lower(), inner, to) or to
+
+
 def parse(page: str) -> Node:
     """The tree of a page under a root of its own; text children are strings with references decoded."""
     root = Node("#root")
     stack = [root]
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            token = m[0]
-            if token[0] != "<" or token == "<":
-                stack[-1].children.append(entities.unescape(token) if "&" in token else token)
+    deep: list[str] = []  # tags that are open below the deepest node
+    held: dict[str, int] = {}
+    tokens = _tokens(page)
+    go = None
+    while True:
+        try:
+            kind, name, rest, at = tokens.send(go)
+        except StopIteration:
+            return root
+        go = None
+        if not kind:
+            stack[-1].children.append(entities.unescape(rest) if "&" in rest else rest)
             continue
-        name = name.lower()
-        if m[1]:
+        if kind == "</":
             if name in VOID:
                 continue
+            if held.get(name):
+                while True:
+                    tag = deep.pop()
+                    held[tag] -= 1
+                    if tag in BLOCK:
+                        stack[-1].children.append(Node("div"))
+                    if tag == name:
+                        break
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == name:
                     del stack[k:]
+                    deep, held = [], {}
                     break
                 if name not in BLOCK and stack[k].tag in BLOCK:
                     break  # an inline end tag does not end a block
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            if name in ENDED_BY.get(stack[k].tag, ()):
-                del stack[k:]
-                break
-            if stack[k].tag in SCOPE:
-                break
-        node = Node(name, m[3])
+        if not deep:
+            for k in range(len(stack) - 1, 0, -1):
+                if name in ENDED_BY.get(stack[k].tag, ()):
+                    del stack[k:]
+                    break
+                if stack[k].tag in SCOPE:
+                    break
+        node = Node(name, rest)
         stack[-1].children.append(node)
         if name in RAW:
             stop = re.compile(f"</{name}(?=[\\s/>]|\\Z)[^>]*>?", re.I).search(page, at)
-            node.children.append(page[at : stop.start() if stop else end])
-            at = stop.end() if stop else end
-        elif name not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
-        elif name not in VOID and name in BLOCK:
-            stack.append(node)  # HTML knows no self-closing blocks
-    return root
+            node.children.append(page[at : stop.start() if stop else len(page)])
+            go = stop.end() if stop else len(page)
+        elif name not in VOID and (name in BLOCK or not rest.rstrip().endswith("/")):  # HTML knows no self-closing blocks
+            if len(stack) < DEPTH:
+                stack.append(node)
+            else:
+                deep.append(name)
+                held[name] = held.get(name, 0) + 1
 
 
 def _sizes(node: Node) -> int:
     below = node.nodes()
-    node.size = 1 + sum(_sizes(c) for c in below)
+    node.size = 1 + sum([_sizes(c) for c in below])
     node.shape = hash((node.kind, *[c.shape for c in below]))
     return node.size
 
@@ -147,7 +218,7 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]], known: dict | None =
         return 0
     known = {} if known is None else known
     pairs.append((a, b))
-    return 1 + sum(match(p, q, pairs, known) for p, q in _children(a, b, known))
+    return 1 + sum([match(p, q, pairs, known) for p, q in _children(a, b, known)])
 
 
 def _matched(p: Node, q: Node, known: dict) -> int:
@@ -158,7 +229,7 @@ def _matched(p: Node, q: Node, known: dict) -> int:
         return min(p.size, q.size)
     key = (p.shape, q.shape)
     if key not in known:
-        known[key] = 1 + sum(_matched(x, y, known) for x, y in _children(p, q, known))
+        known[key] = 1 + sum([_matched(x, y, known) for x, y in _children(p, q, known)])
     return known[key]
 
 
@@ -246,6 +317,11 @@ class Wrapper:
         n = seen.total()
         return seen[_own(node)] >= max(least if n == self.pages else TEMPLATE_PAGES, TEMPLATE_SHARE * n)
 
+    def usual(self, node: Node, matched: dict[int, Node]) -> bool:
+        """Whether a region stands on half the pages, of four or more."""
+        seen = self.texts.get(id(matched.get(id(node))))
+        return bool(seen) and seen.total() >= max(4, self.pages / 2)
+
     def template(self, node: Node, matched: dict[int, Node], least: int) -> bool:
         """Whether all text of a subtree is constant."""
         return all(self.constant(n, matched, least) for n in _walk(node) if not n.noise and _own(n))
@@ -318,7 +394,7 @@ def container(page: Node, wrapper: Wrapper | None, matched: dict) -> tuple[list[
 def text_of(page: Node, wrapper: Wrapper | None, matched: dict) -> str:
     """The blocks of the containers, joined by empty lines."""
     tops, left, mute = container(page, wrapper, matched)
-    heads = {id(n) for n in tops}
+    heads = {id(n) for n in tops if n.tag != "#root"}
     done: list[str] = []
     line: list[str] = []
 
@@ -335,9 +411,11 @@ def text_of(page: Node, wrapper: Wrapper | None, matched: dict) -> str:
                 line.append(" " if id(node) in mute else c)
             elif id(c) in left or c.noise and not (c.tag == "header" and id(node) in heads):
                 line.append(" ") if c.tag not in BLOCK else end()
+            elif c.doubt and wrapper is not None and wrapper.usual(c, matched):
+                line.append(" ") if c.tag not in BLOCK else end()
             elif c.tag in BLOCK:
                 end()
-                if wrapper is None or not wrapper.template(c, matched, TEMPLATE_PAGES):
+                if wrapper is None or heads and c.tag in TEXTUAL or not wrapper.template(c, matched, TEMPLATE_PAGES):
                     visit(c)
                 end()
             elif c.tag in VOID:
@@ -352,11 +430,19 @@ def text_of(page: Node, wrapper: Wrapper | None, matched: dict) -> str:
     return "\n\n".join(done)
 
 
-def _header_noise(page: Node) -> None:
-    """A header outside an article is the site's; one inside holds the article's title."""
+def _roles(page: Node) -> None:
+    """What the article around them makes of regions: a header outside is the site's, one inside holds the title; classes inside
+    that only partly name such a region, and those of elements of text, leave it open (doubt) or say nothing."""
     todo = [(page, False)]
     while todo:
         n, article = todo.pop()
+        if n.doubt and article and n.noise:
+            if n.tag in TEXTUAL:
+                n.noise = n.doubt = False
+            elif n.doubt == 1:
+                n.noise = False
+        else:
+            n.doubt = False
         article = article or n.tag == "article"
         if n.tag == "header" and not article:
             n.noise = True
@@ -365,11 +451,12 @@ def _header_noise(page: Node) -> None:
 
 def extract(pages: list[str]) -> list[str]:
     """Main texts of the pages of one host."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * DEPTH))  # trees are DEPTH deep at most
     trees: dict[str, Node] = {}
     for page in pages:
         if page and page not in trees:
             tree = trees[page] = parse(page)
-            _header_noise(tree)
+            _roles(tree)
             _sizes(tree)
     if not trees:
         return [""] * len(pages)
