@@ -92,7 +92,10 @@ class ChunkTable:
     def look_up(self, chunks: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
         """Numbers of distinct chunks, and each column's values for these."""
         coded = chunks.dictionary_encode()
-        distinct = coded.dictionary
+        return coded.indices, self.values_of(coded.dictionary)
+
+    def values_of(self, distinct: pa.Array) -> list[pa.Array]:
+        """Each column's values for distinct chunks; what is new is learnt."""
         at = pc.index_in(distinct, value_set=self.keys)
         unknown = pc.is_null(at)
         new = distinct.filter(unknown)
@@ -109,7 +112,7 @@ class ChunkTable:
             self.keys, self.columns = distinct.take(pa.array(np.arange(len(distinct)))), values
             if sum(c.nbytes for c in (self.keys, *self.columns)) > self.remembered_bytes:
                 self.keys, self.columns = self.keys[:0], [c[:0] for c in values]
-        return coded.indices, values
+        return values
 
 
 def binary_of(flat: np.ndarray, lens: np.ndarray) -> pa.Array:

@@ -1,5 +1,6 @@
 """Quality rules against brute force; the weak-label classifier and the toxicity scorer on labelled rows."""
 
+import random
 import re
 
 import numpy as np
@@ -66,6 +67,69 @@ def test_label_model_finds_the_accuracies():
     assert model.accuracies().min() > 0.8
 
 
+def test_posteriors_equal_bayes_written_out():
+    rng = np.random.default_rng(9)
+    patterns = np.unique(rng.integers(0, 3 ** len(weaklabel.LABELLERS), 400))
+    counts = rng.integers(1, 50, len(patterns))
+    model = weaklabel.fit_labels(patterns, counts)
+    for code, got in zip(patterns.tolist(), model.posterior(patterns).tolist(), strict=True):
+        good, bad = model.prior, 1 - model.prior
+        for k in reversed(range(len(weaklabel.LABELLERS))):
+            code, vote = divmod(code, 3)
+            good, bad = good * model.on_good[k][vote], bad * model.on_bad[k][vote]
+        assert got == pytest.approx(good / (good + bad), abs=1e-9)
+    # one more round from its own posteriors leaves the model as it is
+    p = model.posterior(patterns)
+    assert model.prior == pytest.approx((counts @ p + 1) / (counts.sum() + 2), abs=1e-4)
+    assert model.posterior(np.array([-1]))[0] == 0
+
+
+def test_facts_equal_counts_of_each_text():
+    random.seed(3)
+    bits = ["the", "THE", "und", "é", "x" * 40, "#|%", "!", "\n", "\n", " ", "  ", "\t", "\x0b", "1 ", "wort wort ", "\u00a0", "日本 "]
+    texts = ["".join(random.choice(bits) for _ in range(random.randint(0, 60))) for _ in range(300)] + ["", " ", "\n\n", "a", "a\n", "\na"]
+    import pyarrow as pa
+
+    facts = weaklabel.Facts(pa.array([None, *texts], pa.string()).slice(1))
+    for k, t in enumerate(texts):
+        raw = t.encode()
+        words = [w for w in re.split(rb"[\x20\x09-\x0d]+", raw) if w]
+        lines = [x for x in raw.split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
+        want = (len(raw), len(words), len(set(words)), sum(a == b for a, b in zip(words, words[1:], strict=False)), len(lines), len(set(lines)), sum(w.decode().lower() in weaklabel._STOPS for w in words))
+        assert (facts.bytes[k], facts.words[k], facts.distinct[k], facts.repeats[k], facts.lines[k], facts.distinct_lines[k], facts.stops[k]) == want, t
+        assert (facts.bangs[k], facts.bars[k], facts.upper[k]) == (raw.count(b"!"), raw.count(b"|"), sum(65 <= b < 91 for b in raw)) and facts.symbols[k] == sum(raw.count(c) for c in b"#*$%&|<>^~@=\\{}[]_")
+
+
+def test_loops_of_few_words_are_bad_at_any_length():
+    import pyarrow as pa
+
+    natural = " ".join(f"w{i * i % 9973} the" for i in range(30_000))
+    votes = weaklabel.few_words_over_and_over(weaklabel.Facts(pa.array([" ".join("one two three four".split() * k) for k in (5, 10, 499, 500, 5000)] + [natural])))
+    assert votes.tolist() == [weaklabel.NONE, *[weaklabel.BAD] * 4, weaklabel.NONE]
+
+
+def test_scores_are_means_of_word_scores():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    labels = weaklabel.fit_labels(np.array([1, 2, 3]), np.array([5, 5, 5]))
+    own = weaklabel.word_buckets("ba")[-1]
+    model = weaklabel.QualityModel(labels, rng.normal(size=weaklabel.BUCKETS), {own: 0.7}, 0.1, 0.3)
+    texts = ["ba ba du\nWort", "", "x", "ba " * 500]
+    for t, got in zip(texts, weaklabel.Scorer(model).scores(weaklabel.Facts(pa.array(texts))).tolist(), strict=True):
+        words = t.split()
+        z = 0.1 + (10 * 0.3 + sum(model.weights[weaklabel.word_buckets(w)[:4]].sum() + (0.7 if w == "ba" else 0) for w in words) + model.weights[weaklabel._STUTTER] * sum(a == b for a, b in zip(words, words[1:], strict=False))) / (10 + len(words))
+        assert got == pytest.approx(1 / (1 + np.exp(-z)) if words else 0.0)
+
+
+def test_the_sample_is_bounded_where_rows_repeat(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 2900, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    got = weaklabel._sample(docs, 4000, 200)
+    assert 0 < got.count() <= 400 and sorted(got.collect()) == sorted(weaklabel._sample(docs.repartition(5), 4000, 200).collect())
+
+
 def test_classifier_agrees_with_held_back_labels(spark):
     got = queries()["op2_quality_classifier"](spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
     assert got.kept[got.quality == 1].mean() > 0.98
