@@ -9,7 +9,8 @@ As the machine is linear in the kernel, its weights and landmarks fold into one
 gives the same score for a word without the landmarks. Runs of single characters count as a word, too.
 
 Training rows are at most TRAIN_TOXIC and TRAIN_OTHER labelled documents, chosen by a hash of doc_id among rows that
-are not held out. Null and empty texts score as a text without any word of four letters. Repeated rows get equal
+are not held out; of rows with one doc_id the text of least hash is taken. Training looks at a bounded number of each
+document's words (LENT_*), scoring at all of them. Null and empty texts score as a text without any word of four letters. Repeated rows get equal
 results; a doc_id with several labels is toxic if one says so; an empty table gives an empty result; without labels of
 both kinds every score is 0. Extra columns are not read.
 """
@@ -31,6 +32,9 @@ from .common import map_documents, texts_of
 
 LENGTH, SPAN, DECAY = 4, 7, 0.75
 TRAIN_TOXIC, TRAIN_OTHER = 1500, 3000
+#: Words that a toxic and another training document lend to training: those that speak most for toxicity at first, and of all
+#: others, in order, about so many more.
+LENT_TOXIC, LENT_OTHER, LENT_MORE = 16, 8, 4
 TOXIC_LANDMARKS, OTHER_LANDMARKS = 64, 32
 #: A run of characters speaks for toxicity from this root of the likelihood ratio and these log odds on.
 SURE, LEAN = 4.5, 2.5
@@ -247,7 +251,7 @@ def train(documents: list[set[str]], labels: list[int], rounds: int = 5) -> Toxi
     marks, z = _landmarks(words, grams, docs, toxic)
     first = np.array([z[g].max() if len(g) else 0.0 for g in grams])
     # candidates: of each document the words that speak most for toxicity at first, and some others
-    candidates = [np.unique(np.concatenate([at[np.argsort(-first[at], kind="stable")[: 16 if t else 8]], at[:: max(1, len(at) // 4)]])) if len(at) else at for at, t in zip(docs, toxic, strict=True)]
+    candidates = [np.unique(np.concatenate([at[np.argsort(-first[at], kind="stable")[: LENT_TOXIC if t else LENT_OTHER]], at[:: max(1, len(at) // LENT_MORE)]])) if len(at) else at for at, t in zip(docs, toxic, strict=True)]
     used = np.unique(np.concatenate(candidates))
     place = {int(k): i for i, k in enumerate(used)}
     some = [words[k] for k in used]
@@ -325,7 +329,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     for value, most in ((1, TRAIN_TOXIC), (0, TRAIN_OTHER)):
         part = marks.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")  # TRAIN_TOXIC + TRAIN_OTHER rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
+    # one text of each doc_id, however many rows have it: TRAIN_TOXIC + TRAIN_OTHER rows; each task hands on one
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def words(batches):
         for block in batches:

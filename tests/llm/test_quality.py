@@ -1,5 +1,6 @@
 """Quality rules against brute force; the weak-label classifier and the toxicity scorer on labelled rows."""
 
+import itertools
 import random
 import re
 
@@ -154,6 +155,44 @@ def test_table_of_weights_scores_as_the_kernel():
     assert pair[0] == pytest.approx(pair[1])  # neighbours do not mix
 
 
+def brute_kernel(a, b):
+    """All sequences of four letters that stand in order within seven places, written out for both words."""
+    def weights(word):
+        out = {}
+        for places in itertools.combinations(range(len(word)), 4):
+            if (span := places[-1] - places[0] + 1) <= 7:
+                key = "".join(word[i] for i in places)
+                out[key] = out.get(key, 0.0) + 0.75**span
+        return out
+
+    x, y = weights(a), weights(b)
+    return sum(v * y.get(k, 0.0) for k, v in x.items())
+
+
+def test_the_kernel_equals_all_subsequences():
+    words = ["idiot", "idxiot", "worthless", "wooorthless", "abcdefgh", "hgfedcba", "aaaaaaaa", "lost"]
+    for a in words:
+        table = toxicity.table_of([(1.0, *toxicity.features(a))])
+        for b, got in zip(words, toxicity.word_scores(words, table).tolist(), strict=True):
+            own = sum(max(0, len(b) - o[-1]) * 0.75 ** (2 * (o[-1] + 1)) for o in toxicity.OFFSETS)
+            assert got == pytest.approx(brute_kernel(a, b) / max(own, 0.75**8) ** 0.25, rel=1e-4, abs=1e-6)
+
+
+def test_rows_of_one_id_lend_one_text(spark):
+    docs = spark.createDataFrame([(1, f"text number {i}", "s") for i in range(500)] + [(2, "calm words here", "s"), (3, "other words there", "s")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 0)], "doc_id long, toxic int")
+    seen = []
+
+    def noted(found, marks):
+        seen.append(len(found))
+        return toxicity.ToxicModel(None, 0.0)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "train", noted)
+        toxicity.fit(docs, labels)
+    assert seen and seen[0] <= 3
+
+
 def test_gapped_words_are_caught():
     calm = ["the quick brown foxes jumped over seven lazy dogs today", "people walking along rivers under bright morning skies", "gardens and houses stand quietly beside narrow roads"]
     bad = [f"{c.split()[k % 5]} {w} {c}" for k, c in enumerate(calm * 20) for w in ("idiot", "worthless")]
