@@ -61,14 +61,16 @@ def _distinct(of: np.ndarray, what: np.ndarray, n: int) -> np.ndarray:
     if not len(of):
         return np.zeros(n, np.int64)
     width = int(what.max()) + 1
-    return np.bincount(np.unique(of.astype(np.int64) * width + what) // width, minlength=n)
+    both = np.sort(of * width + what)  # of ascends, so this sorts within owners
+    return np.bincount(both[np.append(True, both[1:] != both[:-1])] // width, minlength=n)
 
 
 def _cut(data: np.ndarray, gone: np.ndarray, at: np.ndarray) -> pa.Array:
     """The pieces of data that begin at each place (and end before the next), without the bytes that are gone."""
-    before = np.append(0, np.cumsum(gone, dtype=np.int64))
-    offsets = np.append(at - before[at], len(data) - before[-1]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[~gone])])
+    kept = data[~gone]
+    before = np.cumsum(gone, dtype=np.int32)
+    offsets = np.append(at - before[at] + gone[at], len(kept)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
 
 
 class Facts:
@@ -231,6 +233,11 @@ def _bucket(feature: str, buckets: int = BUCKETS) -> int:
 
 
 def _shape(word: str) -> str:
+    if word.isalpha():  # most words
+        if word.islower():
+            return "a"
+        if word[0].isupper() and word[1:].islower():
+            return "Aa"
     out = []
     for c in word:
         k = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c
@@ -293,9 +300,18 @@ class QualityModel:
     #: Mean word score of good training documents: a text counts as PRIOR_WORDS such words more than it has.
     usual: float = 0.0
 
-    def word(self, word: str) -> float:
-        *form, own = word_buckets(word)
-        return float(self.weights[form].sum()) + self.words.get(own, 0.0)
+
+class _Parts(dict):
+    """Features of words' forms to their weights, hashed once each."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    def __missing__(self, feature: str) -> float:
+        if len(self) > 100_000:
+            self.clear()
+        self[feature] = weight = float(self.weights[_bucket(feature)])
+        return weight
 
 
 def _sample(docs: DataFrame, n: int, train_docs: int) -> DataFrame:
@@ -352,12 +368,16 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> QualityModel:
 
 class Scorer:
     def __init__(self, model: QualityModel):
-        self.model = model
+        self.model, self.parts = model, _Parts(model.weights)
         self.table = ChunkTable(self._learn, 1, REMEMBERED, REMEMBERED_BYTES)
 
     def _learn(self, new: pa.Array) -> list[pa.Array]:
-        word = self.model.word
-        return [binary_of(np.array([word(w) for w in new.cast(pa.string()).to_pylist()], np.float64), np.ones(len(new), np.int64))]
+        part, own, out = self.parts, self.model.words, []
+        for word in new.cast(pa.string()).to_pylist():  # as word_buckets has it
+            low = word.lower()
+            form = part["s" + _shape(word)] + part["<" + low[:2]] + part[low[-2:] + ">"] + part[f"n{min(len(word), 24) // 2}"]
+            out.append(form + own.get(BUCKETS + _bucket("w" + low, WORD_BUCKETS), 0.0))
+        return [binary_of(np.array(out, np.float64), np.ones(len(new), np.int64))]
 
     def scores(self, facts: Facts) -> np.ndarray:
         """The score of each text; 0 for those without words."""
