@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -60,13 +61,41 @@ def map_documents(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterat
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new path under the folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    The setting is the cluster's; only where it is unset (tests on one machine) a folder of the warehouse is taken.
+    The setting is the cluster's; only where it is unset on one machine (tests) a folder of the warehouse is taken.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        at = spark.sparkContext.getCheckpointDir()
-        root = at or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_framewake"
-    return f"{root.rstrip('/')}/framewake-{what}-{uuid.uuid4().hex[:12]}"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_framewake"
+    path = f"{root.rstrip('/')}/framewake-{what}-{uuid.uuid4().hex[:12]}"
+    for paths in getattr(_local, "collecting", ()):
+        paths.append(path)
+    return path
+
+
+_local = threading.local()
+
+
+class Tables:
+    """Collects the paths that are stored while it is entered (in this thread), to delete them once nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        _local.collecting = [*getattr(_local, "collecting", ()), self.paths]
+        return self
+
+    def __exit__(self, *_) -> None:
+        _local.collecting = [p for p in _local.collecting if p is not self.paths]
+
+    def delete(self, but: tuple[str, ...] = ()) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            if path not in but:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+        self.paths[:] = [p for p in self.paths if p in but]
 
 
 def placed(docs: DataFrame) -> tuple[DataFrame, list[str]]:

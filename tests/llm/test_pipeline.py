@@ -1,6 +1,10 @@
 """The pipeline's stages on odd rows and end to end."""
 
+from pathlib import Path
+
 import corpus_pipeline
+from framewake.llm import simhash
+from framewake.llm.common import placed
 
 from .helpers import documents, empty
 
@@ -12,6 +16,34 @@ def test_each_stage_keeps_the_columns(spark):
         assert stage(spark, empty(spark), "").count() == 0
 
 
+def test_stages_leave_no_tables_behind(spark):
+    folder = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before = set(folder.glob("framewake-*")) if folder.exists() else set()
+    packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    new = set(folder.glob("framewake-*")) - before
+    assert len(new) == 1 and "simhash_near_dedup" in new.pop().name and packed.count() > 0
+
+
+def test_places_do_not_depend_on_splits(spark, tmp_path):
+    docs = documents(spark, [f"text {i} of some words that go on {i}" for i in range(300)]).repartition(3)
+    docs.write.parquet(str(tmp_path / "docs"))
+    seen = []
+    for size in ("128m", "2k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        try:
+            rows, names = placed(spark.read.parquet(str(tmp_path / "docs")))
+            seen.append((rows.rdd.getNumPartitions(), sorted(map(repr, rows.select("doc_id", "text", *names).collect()))))
+            kept = simhash.keep_first(spark.read.parquet(str(tmp_path / "docs")))
+            seen[-1] += (sorted(r.doc_id for r in kept.where("doc_id is not null").collect()),)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert seen[0][0] != seen[1][0] and seen[0][1:] == seen[1][1:]
+    joined = docs.join(docs.select("doc_id").distinct(), "doc_id")  # rows of no file are stored first
+    assert placed(joined)[0].count() == joined.count()
+
+
 def test_run_packs_what_the_stages_leave(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
