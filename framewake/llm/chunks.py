@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 #: Distinct chunks and their bytes that one worker remembers; beyond it those of the last block stay, which costs time only.
 REMEMBERED, REMEMBERED_BYTES = 1_500_000, 96 << 20
 #: Text bytes that are cut and numbered together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: New chunks that the library encodes as one text, parted by an added token.
 JOINED = 4096
 _WHITE, _PUNCTUATION, _LETTER = 1, 2, 4
