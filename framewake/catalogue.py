@@ -175,9 +175,8 @@ def _gem(s, d):
     return e.select("vec_id", fs.gem(v).alias("gem"), fs.dot(v, v).alias("square"), F.element_at(fs.l2_normalize(v), 1).alias("first"), _weighed(fs.l2_normalize(v)).alias("weighed"))
 
 
-def _dedupe(s, d):
-    docs = _table(s, d, "documents").withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return media.dedupe_content(docs, "key", "doc_id").select("key", "doc_id", F.size("duplicates").alias("n_duplicates"), F.array_join(F.transform("duplicates", lambda x: x.cast("string")), ",").alias("duplicates"))
+def _contents(s, d):
+    return _table(s, d, "documents").withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def _space(s, d):
@@ -349,7 +348,8 @@ def queries() -> dict:
         "resolve_ladder": lambda s, d: _r(_ladder(s, d)),
         "frames_view": lambda s, d: _r(p(s, d).index.select("source_id", "local_index", "ts", F.size("descriptor").alias("dim"), F.element_at("descriptor", 1).alias("first"), _weighed("descriptor").alias("weighed"))),
         "self_exclusion": lambda s, d: media.exclude_query(_table(s, d, "pages").select("page_id", "url"), _table(s, d, "pages").where("page_id = 0").select("url"), "url").select("page_id", "url"),
-        "content_dedupe": _dedupe,
+        "content_dedupe": lambda s, d: media.dedupe_content(_contents(s, d), "key", "doc_id"),
+        "content_duplicates": lambda s, d: media.duplicates(_contents(s, d), "key", "doc_id"),
         "closed_time_slice": lambda s, d: media.time_slice(p(s, d).index, 2.0, 5.0).select("source_id", "local_index", "ts"),
         "sampled_frames": lambda s, d: media.sampled(p(s, d).index.select("source_id", "local_index", "ts"), 0.25).select("source_id", "local_index"),
         "shot_frame_range_join": lambda s, d: retrieval.shot_frames(p(s, d).query.select(F.col("shot_id").alias("of_shot"), "q_idx", "q_ts"), p(s, d).shots).select("shot_id", "of_shot", "q_idx", "q_ts"),
@@ -587,7 +587,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "frames_view": b("SELECT source_id, local_index, ts, len(descriptor)::INT AS dim, descriptor[1] AS first, list_sum(list_transform(range(1, len(descriptor) + 1), lambda k: descriptor[k] * k)) AS weighed FROM ix", "ts first weighed", "source_id local_index dim"),
         "self_exclusion": "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id = 0)",
-        "content_dedupe": "SELECT key, min(doc_id) AS doc_id, (count(DISTINCT doc_id) - 1)::INT AS n_duplicates, coalesce(array_to_string(list_sort(list_distinct(list(doc_id)))[2:], ','), '') AS duplicates FROM (SELECT sha256(coalesce(text, '')) AS key, doc_id FROM documents) GROUP BY key",
+        "content_dedupe": "SELECT key, min(doc_id) AS doc_id, count(DISTINCT doc_id) - 1 AS n_duplicates FROM (SELECT sha256(coalesce(text, '')) AS key, doc_id FROM documents) GROUP BY key",
+        "content_duplicates": "SELECT DISTINCT key, first AS doc_id, doc_id AS duplicate FROM (SELECT *, min(doc_id) OVER (PARTITION BY key) AS first FROM (SELECT sha256(coalesce(text, '')) AS key, doc_id FROM documents)) WHERE doc_id <> first",
         "closed_time_slice": BASE + "SELECT source_id, local_index, ts FROM ix WHERE ts BETWEEN 2 - 1e-9 AND 5 + 1e-9",
         "sampled_frames": BASE + "SELECT source_id, min(local_index) AS local_index FROM ix GROUP BY source_id, floor(ts * 0.25)",
         "shot_frame_range_join": BASE + """SELECT s.shot_id, q.shot_id AS of_shot, q_idx, q_ts FROM q JOIN shots s ON q_ts BETWEEN s."start" - 1e-9 AND s."end" + 1e-9""",

@@ -28,20 +28,30 @@ def shot_frames(frames: DataFrame, shots: DataFrame, ts: str = "q_ts") -> DataFr
 
 
 def nearest_for_empty(frames: DataFrame, shots: DataFrame, ts: str = "q_ts") -> DataFrame:
-    """For shots without a frame, the frame nearest to the middle (the earlier of two)."""
+    """For shots without a frame, the frame nearest to the middle (the earlier of two).
+
+    Frames of the middle's time bucket are met by a join on the bucket. Beyond it the last frame of the bucket before and the first
+    of the one after count; the one window that is not partitioned runs over a row for each bucket and empty shot, not over frames.
+    """
+    width = 16.0
     have = shot_frames(frames.select(ts), shots.select("shot_id", "start", "end"), ts).select("shot_id").distinct()
-    empty = shots.join(have, "shot_id", "left_anti").withColumn("mid", (F.col("start") + F.col("end")) / 2)
-    # the last frame before and the first after each middle: a union sorted by time, no pairs
-    events = frames.select(F.col(ts).alias("t"), F.lit(None).cast("int").alias("shot_id")).union(empty.select(F.col("mid").alias("t"), "shot_id"))
-    w = Window.orderBy("t", F.col("shot_id").isNotNull())
-    frame_t = F.when(F.col("shot_id").isNull(), F.col("t"))
-    around = events.withColumn("before", F.last(frame_t, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("after", F.first(frame_t, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    near = F.when(F.col("after").isNull() | (F.col("t") - F.col("before") <= F.col("after") - F.col("t")), F.col("before")).otherwise(F.col("after"))
-    return around.where("shot_id is not null").select("shot_id", F.col("t").alias("mid"), near.alias("nearest_ts"))
+    empty = shots.join(have, "shot_id", "left_anti").withColumn("mid", (F.col("start") + F.col("end")) / 2).select("shot_id", "mid", F.floor(F.col("mid") / width).alias("_b"))
+    held = frames.select(F.col(ts).alias("_t"), F.floor(F.col(ts) / width).alias("_b"))
+    none = F.lit(None).cast("double")
+    buckets = held.groupBy("_b").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    rows = buckets.select("_b", "_lo", "_hi", F.lit(None).cast("int").alias("shot_id"), none.alias("mid")).unionByName(empty.select("_b", none.alias("_lo"), none.alias("_hi"), "shot_id", "mid"))
+    w = Window.orderBy("_b")
+    around = rows.withColumn("_before", F.last("_hi", True).over(w.rangeBetween(Window.unboundedPreceding, -1))).withColumn("_after", F.first("_lo", True).over(w.rangeBetween(1, Window.unboundedFollowing)))
+    around = around.where("shot_id is not null").select("shot_id", "mid", "_before", "_after")
+    off = lambda t: F.struct(F.abs(t - F.col("mid")).alias("off"), t.alias("t"))
+    inside = empty.join(held, "_b").groupBy("shot_id").agg(F.min(off(F.col("_t"))).alias("_in"))
+    choices = F.array(F.col("_in"), *[F.when(F.col(c).isNotNull(), off(F.col(c))) for c in ("_before", "_after")])
+    return around.join(inside, "shot_id", "left").select("shot_id", "mid", F.array_min(choices)["t"].alias("nearest_ts"))
 
 
 def cosine_pairs(query: DataFrame, index: DataFrame) -> DataFrame:
     """Every similarity in long form; for small inputs and checked candidates, as its size is the product of both."""
+    _query_size(query)
     f = index.select("source_id", F.col("local_index").alias("s_idx"), F.col("ts").alias("s_ts"), F.col("descriptor").alias("_d"))
     return f.crossJoin(F.broadcast(query)).select("shot_id", "q_idx", "q_ts", "source_id", "s_idx", "s_ts", dot(F.col("descriptor"), F.col("_d")).alias("sim"))
 
@@ -53,13 +63,19 @@ def candidate_pairs(query: DataFrame, index: DataFrame, candidates: DataFrame) -
     return query.join(shot_source, "shot_id").join(f, "source_id").select("shot_id", "q_idx", "q_ts", "source_id", "s_idx", "s_ts", dot(F.col("descriptor"), F.col("_d")).alias("sim"))
 
 
+def _query_size(query: DataFrame) -> tuple[int, int]:
+    """Frames and numbers of each; more than may be broadcast are an error."""
+    rows, width = query.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("descriptor")), F.lit(0))).first()
+    if rows * width * 8 > QUERY_BYTES:
+        raise ValueError(f"the query has {rows} frames of {width} numbers; split it by shots")
+    return rows, width
+
+
 def _query_matrix(query: DataFrame):
     """The query's frames as a broadcast matrix, made once for a DataFrame."""
     if (made := getattr(query, "_framewake_matrix", None)) is not None:
         return made
-    rows, width = query.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("descriptor")), F.lit(0))).first()
-    if rows * width * 8 > QUERY_BYTES:
-        raise ValueError(f"the query has {rows} frames of {width} numbers; split it by shots")
+    _, width = _query_size(query)
     got = query.select("shot_id", "q_idx", "descriptor").toArrow().to_pylist()
     made = query.sparkSession.sparkContext.broadcast((np.array([r["shot_id"] for r in got], np.int64), np.array([r["q_idx"] for r in got], np.int64), np.array([r["descriptor"] for r in got], np.float64).reshape(len(got), width)))
     query._framewake_matrix = made
@@ -147,9 +163,9 @@ def background(index: DataFrame, candidates: DataFrame, pool: int) -> DataFrame:
     """cand, other, local_index, _d: for each candidate source the first frames of the other sources by a hash of source and place."""
     places = index.select(F.col("source_id").alias("other"), "local_index", F.md5(F.concat_ws(":", "source_id", "local_index").cast("binary")).alias("_h"), F.col("descriptor").alias("_d"))
     by_hash = ["_h", "other", "local_index"]
-    # a pool takes no more of one source than its first frames
-    firsts = places.withColumn("_r", F.row_number().over(Window.partitionBy("other").orderBy(*by_hash))).where(F.col("_r") <= pool).drop("_r")
-    both = F.broadcast(candidates).join(firsts, F.col("cand") != F.col("other"))
+    # a pool takes no more of one source than its first frames, so twice as many in all hold the pool of every candidate
+    firsts = places.withColumn("_r", F.row_number().over(Window.partitionBy("other").orderBy(*by_hash))).where(F.col("_r") <= pool).drop("_r").orderBy(*by_hash).limit(2 * pool)
+    both = candidates.crossJoin(F.broadcast(firsts)).where(F.col("cand") != F.col("other"))  # 2 * pool rows
     return both.withColumn("_r", F.row_number().over(Window.partitionBy("cand").orderBy(*by_hash))).where(F.col("_r") <= pool).drop("_r", "_h")
 
 

@@ -32,9 +32,15 @@ def exclude_query(sources: DataFrame, query: DataFrame, on: str = "path") -> Dat
 
 
 def dedupe_content(sources: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each content, with the others' order values as duplicates. Two aggregates in one shuffle, no window."""
-    g = sources.groupBy(key).agg(F.min(order).alias("first"), F.sort_array(F.collect_set(order)).alias("all"))
-    return g.select(key, F.col("first").alias(order), F.filter("all", lambda x: x != F.col("first")).alias("duplicates"))
+    """The first row of each content by its order value, and how many others have it. Aggregated before rows move."""
+    return sources.groupBy(key).agg(F.min(order).alias(order), (F.count_distinct(order) - 1).alias("n_duplicates"))
+
+
+def duplicates(sources: DataFrame, key: str, order: str) -> DataFrame:
+    """key, order value of the first and duplicate: a row for each other one of a content, however many have it."""
+    first = sources.groupBy(key).agg(F.min(order).alias("_first"))
+    both = sources.select(key, order).join(first, key).where(F.col(order) != F.col("_first"))
+    return both.select(key, F.col("_first").alias(order), F.col(order).alias("duplicate")).distinct()
 
 
 PROBE = T.StructType([T.StructField("streams", T.ArrayType(T.MapType(T.StringType(), T.StringType()))), T.StructField("format", T.MapType(T.StringType(), T.StringType()))])

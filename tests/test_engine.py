@@ -23,7 +23,9 @@ def test_scan_takes_media_files_below_a_folder(spark, tmp_path):
     prints = media.with_fingerprint(spark, str(tmp_path))
     assert prints.select("fingerprint").distinct().count() == 2
     first = media.dedupe_content(prints, "fingerprint", "path").collect()
-    assert sorted(len(r.duplicates) for r in first) == [0, 1]
+    assert sorted(r.n_duplicates for r in first) == [0, 1]
+    other = media.duplicates(prints, "fingerprint", "path").collect()
+    assert len(other) == 1 and other[0].path.endswith("a.mp4") and other[0].duplicate.endswith("C.MKV")
 
 
 def test_sampled_fingerprints_see_one_byte(spark):

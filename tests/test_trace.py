@@ -298,3 +298,14 @@ def test_biased_frames_align_by_what_is_theirs(spark, world):
     both = q.join(pairs, "shot_id").join(bias, ["shot_id", "source_id", "q_idx"])
     plain, less = ({(r.q_idx, r.s_idx): r.sim for r in align.align(x, ix, pairs.where("source_id = 1")).collect()} for x in (q, both))
     assert less and all(v == pytest.approx(plain[k]) for k, v in less.items() if k in plain)
+
+
+def test_the_nearest_frame_of_an_empty_shot(spark):
+    rng = np.random.default_rng(6)
+    times = sorted({round(float(t), 3) for t in [*rng.uniform(0, 40, 12), *rng.uniform(300, 420, 9), 1000.0]})
+    frames = spark.createDataFrame([(t,) for t in times], "q_ts double")
+    spans = [(k, float(a), float(a) + 0.004) for k, a in enumerate([*rng.uniform(0, 1200, 150), 16.0, 31.998, -0.002])]
+    got = {r.shot_id: r.nearest_ts for r in retrieval.nearest_for_empty(frames, spark.createDataFrame(spans, "shot_id int, start double, end double")).collect()}
+    want = {k: min(times, key=lambda t, m=(a + z) / 2: (abs(t - m), t)) for k, a, z in spans if not any(a - 1e-9 <= t <= z + 1e-9 for t in times)}
+    assert got == want
+    assert {r.nearest_ts for r in retrieval.nearest_for_empty(frames.limit(0), spark.createDataFrame(spans[:2], "shot_id int, start double, end double")).collect()} == {None}
