@@ -88,6 +88,63 @@ def test_three_limits_hold_at_once():
     assert len(out) <= 1.15 * least + 1
 
 
+@pytest.mark.parametrize("limits", [(1024, 256, 500), (100, 3, 1000), (64, 5, 20), (50, 256, 49)])
+def test_a_cut_heeds_all_limits(limits):
+    random.seed(sum(limits))
+    ids = [np.arange(n, dtype="<u4") + 1000 * k for k, n in enumerate([600, 1, 2, 900, *[random.randint(1, 300) for _ in range(80)]])]
+    packer = packing.VectorPacker(*limits, packing._cut)
+    for k, x in enumerate(ids):
+        packer.add((k, 0, len(x), len(x) - 1, x))
+    out = list(packer.pack(last=True))
+    for s in out:
+        assert sum(p[2] for p in s) <= limits[0] and len(s) <= limits[1] and sum(p[3] for p in s) <= limits[2]
+        assert all(len(p[4]) == p[2] and p[3] == p[2] - 1 for p in s)
+    for k, x in enumerate(ids):
+        pieces = sorted((p for s in out for p in s if p[0] == k), key=lambda p: p[1])
+        assert np.array_equal(np.concatenate([p[4] for p in pieces]), x) and [p[1] for p in pieces] == [0, *np.cumsum([p[2] for p in pieces])[:-1].tolist()]
+
+
+def test_conversations_are_packed_under_limits_that_bind(spark):
+    from pyspark.sql import functions as F
+
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    n = F.length(F.coalesce("text", F.lit(""))) / 4 + 1
+    talks = turns.groupBy("conv_id").agg(F.sum(n.cast("long")).alias("n"), F.sum(F.when(F.col("role") == "assistant", n.cast("long")).otherwise(0)).alias("loss")).cache()
+    most = talks.agg(F.max("n"), F.max("loss")).first()
+    for limits in ((most[0] * 2, 100, most[1] * 100), (most[0] * 100, 3, most[1] * 100), (most[0] * 100, 100, most[1])):
+        got = packing.pack_examples(talks.coalesce(1), "conv_id", "n", "loss", *limits).toPandas()
+        s = got.groupby("sequence_id").agg(n=("length", "sum"), k=("length", "size"), loss=("loss_tokens", "sum"))
+        assert len(got) == talks.count() == got.conv_id.nunique()
+        full = [s.n.max() / limits[0], s.k.max() / limits[1], s.loss.max() / limits[2]]
+        assert max(full) <= 1 and max(full) > 0.9  # the limit that is tight is nearly filled
+        least = max(got.length.sum() / limits[0], len(got) / limits[1], got.loss_tokens.sum() / limits[2])
+        assert len(s) <= 1.4 * least + 2
+
+
+def test_memory_that_is_forgotten_changes_no_id():
+    texts = odd_texts()[:200]
+    for name, tokenizer in (("byte_bpe_50k.json", BYTE), ("word_bpe_49k.json", WORD)):
+        for remembered, size in ((1, 1), (50, 1 << 20), (10**6, 2000)):
+            encoder = ChunkEncoder(public_tokenizers.path(name), remembered, size)
+            for k in range(0, 200, 20):
+                ids, each = encoder.encode(texts[k : k + 20])
+                assert ids.tolist() == [i for t in texts[k : k + 20] for i in ids_of(tokenizer, t)]
+    index = bpe.IndexEncoder(public_tokenizers.path("byte_bpe_50k.json"), 30, 3000)
+    for k in range(0, 200, 20):
+        assert [x.tolist() for x in index.encode(texts[k : k + 20])] == [ids_of(BYTE, t) for t in texts[k : k + 20]]
+
+
+def test_plain_words_go_to_the_model_alone():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder = ChunkEncoder(public_tokenizers.path(name))
+        assert encoder.plain is not None and encoder.mark is not None
+        asked = []
+        through = encoder._through_library
+        encoder._through_library = lambda texts: asked.extend(texts) or through(texts)
+        encoder.encode(["plain words über alles, it's 12 o'clock"])
+        assert "plain" not in "".join(asked) and any("12" in x for x in asked)
+
+
 def test_examples_are_packed_whole(spark):
     df = spark.createDataFrame([(k, 10 + k % 50, k % 30) for k in range(300)] + [(None, None, None), (7, 0, 0)], "id long, n long, loss long")
     got = packing.pack_examples(df, "id", "n", "loss", 128, 8, 64).toPandas()
