@@ -115,7 +115,10 @@ def index_or_errors(encoded: DataFrame, source: str = "source_id", error: str =
     """Frames of the sources that could be encoded whole, and one row (source, error) for each of the others.
 
     A bad source stays out of the index and takes no other with it. Descriptors with numbers that are not finite are bad, too.
+    The same holds for the shots of a query (source: shot_id), whose frames have no error column.
     """
+    if error not in encoded.columns:
+        encoded = encoded.withColumn(error, F.lit(None).cast("string"))
     broken = F.exists("descriptor", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     marked = encoded.withColumn("_e", F.coalesce(F.col(error), F.when(F.coalesce(broken, F.lit(True)), "descriptor is not finite")))
     errors = marked.where(F.col("_e").isNotNull()).groupBy(source).agg(F.min("_e").alias("error"))

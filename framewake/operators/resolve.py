@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import TraceConfig
 from ..functions.scalars import composite, confidence, status
 from . import align as al
-from . import merge, retrieval
+from . import features, merge, retrieval
 
 #: What an alignment of a candidate is: the source's interval, its scores, and the fit.
 ITEM = ["source_start", "source_end", "visual", "coverage", "slope", "r2", "rmse", "composite"]
@@ -204,10 +204,12 @@ def resolve(query: DataFrame, index: DataFrame, shots: DataFrame, cfg: TraceConf
     """One segment for each shot, before merging: ladder, refinement, hard pass, crops, grade.
 
     query: shot_id, q_idx, q_ts, descriptor; index: source_id, local_index, ts, descriptor, both at the highest density there
-    is; shots: shot_id, start, end; cropped: see `crop_compensation`. An index without frames is an error.
+    is; shots: shot_id, start, end; cropped: see `crop_compensation`. An index without frames is an error. Shots with a broken
+    descriptor are unknown and harm no other (`features.index_or_errors` names them).
     """
     if index.isEmpty():
         raise ValueError("no source has any frames")
+    query = settled(features.index_or_errors(query, "shot_id")[0])
     durations = index.groupBy("source_id").agg(F.max("ts").alias("duration"))
     coarse = _query_at(query, cfg.sampling.coarse), _index_at(index, cfg.sampling.coarse)
     candidates = settled(retrieve(*coarse, cfg))

@@ -202,6 +202,16 @@ def test_refinement_can_be_off_and_normalised(spark, world, ranked):
     assert normal[1].source == "1" and normal[1].scores["visual"] > 0.95
 
 
+def test_a_broken_shot_is_unknown_and_harms_no_other(spark, world):
+    q, ix, s = world.tables(spark)
+    few = q.where("shot_id in (1, 2)")
+    broken = few.unionByName(q.where("shot_id = 5").withColumn("descriptor", F.when(F.col("q_idx") == 3, F.transform("descriptor", lambda x: F.lit(float("nan")))).otherwise(F.col("descriptor"))))
+    shots_ = s.where("shot_id in (1, 2, 5)")
+    got = {r.shot_id: r for r in resolve.resolve(broken, ix, shots_).collect()}
+    assert got[1].source == "1" and got[1].status == "HIGH" and (got[5].status, got[5].confidence, got[5].source) == ("UNKNOWN", 0.0, None)
+    assert [r.shot_id for r in features.index_or_errors(broken, "shot_id")[1].collect()] == [5]
+
+
 def test_an_index_without_frames_is_an_error(spark, world):
     q, ix, s = world.tables(spark)
     with pytest.raises(ValueError, match="no source"):
