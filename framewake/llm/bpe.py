@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .chunks import ChunkTable, binary_of, byte_letters, chunks_of, laid_out, vocabulary
+from .chunks import ChunkTable, binary_of, byte_letters, chunks_of, laid_out, tidy, vocabulary
 from .common import blocks, gather
 
 #: The pattern of byte-level pre-tokens (a fixed value).
@@ -251,5 +251,6 @@ def encode_decode(docs: DataFrame, vocab: str = "byte_bpe_50k.json") -> DataFram
                 ids.append(hashlib.sha256(decimal[a : max(a, b - 1)]).hexdigest())
                 texts.append(hashlib.sha256(decoded[c:e].tobytes().decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(np.diff(tokens)), pa.array(ids), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

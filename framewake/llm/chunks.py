@@ -37,6 +37,11 @@ _CLASS[[b for b in range(33, 127) if not chr(b).isalnum()]] = _PUNCTUATION
 _CLASS[[b for b in range(128) if chr(b).isalpha()]] = _LETTER
 
 
+def tidy() -> None:
+    """Gives memory that a finished task of this worker no longer uses back to the machine."""
+    pa.default_memory_pool().release_unused()
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file on this machine."""
     import public_tokenizers

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .chunks import BLOCK_BYTES, encoder_for, vocabulary, with_end
+from .chunks import BLOCK_BYTES, encoder_for, tidy, vocabulary, with_end
 from .common import blocks
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -141,6 +141,7 @@ def pack_documents(docs: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: in
             if packer.waiting >= POOL_TOKENS:
                 yield from rows(packer.pack())
         yield from rows(packer.pack(last=True))
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import BLOCK_BYTES, encoder_for, vocabulary, with_end
+from .chunks import BLOCK_BYTES, encoder_for, tidy, vocabulary, with_end
 from .common import blocks, shared_dir
 
 MAGIC = b"FWIDS1\0\0"
@@ -176,6 +176,7 @@ def write_token_files(docs: DataFrame, path: str, vocab: str = "word_bpe_49k.jso
                 size += n
         if size:
             yield image()
+        tidy()
 
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).mapInArrow(run, "part int, seq int, n_docs long, n_ids long, image binary").write.option("compression", "none").parquet(path)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import BLOCK_BYTES, ChunkTable, binary_of
+from .chunks import BLOCK_BYTES, ChunkTable, binary_of, tidy
 from .common import blocks
 from .rules import STOP_WORDS
 
@@ -406,6 +406,8 @@ def classify(docs: DataFrame, model: QualityModel | None = None, keep_from: floa
             facts = Facts(block.column("text"))
             score = scorer.scores(facts)
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(shared.value.labels.posterior(patterns_of(facts))), pa.array(score), pa.array((score >= keep_from) & (score > 0))], ["doc_id", "posterior", "score", "kept"])
+        del scorer
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, posterior double, score double, kept boolean")
 
@@ -419,5 +421,7 @@ def keep_good(docs: DataFrame, model: QualityModel | None = None, keep_from: flo
         for block in blocks(batches, max_bytes=BLOCK_BYTES):
             score = scorer.scores(Facts(block.column("text")))
             yield block.filter(pa.array((score >= keep_from) & (score > 0)))
+        del scorer
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
