@@ -189,7 +189,7 @@ def test_reports_are_written(spark, tmp_path):
 
 def test_settings_load():
     made = config.load({"align": {"min_sim": 0.5, "slopes": [1.0]}})
-    assert made.align.min_sim == 0.5 and made.align.slopes == (1.0,) and made.shots.min_shot == 0.8
+    assert made.align.min_sim == 0.5 and made.align.slopes == (1.0,) and made.shots.min_shot == 0.6
     with pytest.raises(ValueError, match="unknown settings"):
         config.load({"align": {"min_simm": 1}})
 
